@@ -46,9 +46,12 @@ def band_of(low: int, high: int, num: int, den: int) -> tuple[int, int]:
     d = (den - num) * 2 * high // (den + num)
     if not d:
         return 1, 0
-    for e in range(d + 3):  # twice the parts that are empty by chance, and one; small sets may have more, which costs keys but loses nothing
-        if 2 * (d + 1 + e) * math.exp(-low * num / den / (d + 1 + e)) + 1 <= e:
+    e = 0
+    while e <= d + 2:  # twice the parts that are empty by chance, and one; small sets may have more, which costs keys but loses nothing
+        need = math.ceil(2 * (d + 1 + e) * math.exp(-low * num / den / (d + 1 + e)) + 1)
+        if need <= e:
             return d + 1 + e, e
+        e = need
     return d + 2, 1
 
 
