@@ -9,6 +9,8 @@ Tasks pack what they read: there is no shuffle. A task holds at most BUFFER_TOKE
 
 from __future__ import annotations
 
+import sys
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -24,21 +26,35 @@ BUFFER_TOKENS = 1 << 20
 STEP_TOKENS = 16_384
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _WORDS = 700_000
+_STOPS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 _tokenizers: dict[str, WordIds] = {}
 
 
 class WordIds(dict):
-    """A word's ids as little-endian uint32 bytes; white space never joins two words in these vocabularies. Bounded: when full it starts anew."""
+    """A word's ids as little-endian uint32 bytes; white space never joins two words in these vocabularies. Bounded: when full, the words become the older half, from which those that come again return."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        out = b"".join(i.to_bytes(4, "little") for i in self.encode(word.decode(), add_special_tokens=False).ids)
+        out = self.older.get(word)
+        if out is None and word.isascii() and b"<|" not in word:  # the vocabulary's own lower-casing and splitting, done before the lookup
+            low = word.lower()
+            if low != word:
+                out = self[low]
+            elif len(word) > 1 and word[-1:] in _STOPS and word[-2:-1].isalnum():
+                out = self[word[:-1]] + self[word[-1:]]
+        if out is None:
+            ids = array("I", self.encode(word.decode(), add_special_tokens=False).ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out = ids.tobytes()
         if len(word) < 64:
             if len(self) >= _WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
