@@ -53,21 +53,22 @@ def base_figures(docs: DataFrame, extra: list[str]) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(figures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(scratch: Scratch, figures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row for each _host: rows, failures, the shrunk rate and whether the host is kept.
 
-    The prior beta(a, b) has the mean m and variance v of the hosts' own rates: a + b = m (1 - m) / v - 1, at least 2 (also where v is 0 or one host is all there is)."""
-    hosts = figures.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
+    The prior beta(a, b) has the mean m and variance v of the hosts' own rates: a + b = m (1 - m) / v - 1, at least 2 (also where v is 0 or one host is all there is). Its two numbers are read by the driver."""
+    hosts = scratch.cut(figures.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), "hosts")
     rate = F.col("f") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    weight = F.greatest(F.lit(2.0), F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(2.0)))
-    shrunk = (F.col("f") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))
-    return hosts.crossJoin(F.broadcast(prior.withColumn("k", weight))).select("_host", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("_host_kept"))  # prior: one row
+    mean, variance = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    mean = mean or 0.0
+    weight = max(2.0, mean * (1 - mean) / variance - 1) if variance else 2.0
+    shrunk = (F.col("f") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+    return hosts.select("_host", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("_host_kept"))
 
 
 def judge(scratch: Scratch, figures: DataFrame) -> DataFrame:
     """Joins the hosts' verdicts to rows with _host and base_failed; adds host_rate and kept."""
-    hosts = scratch.cut(host_verdicts(figures), "hosts")
+    hosts = host_verdicts(scratch, figures)
     if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         joined = figures.join(F.broadcast(hosts), "_host", "left")
     else:
