@@ -172,7 +172,9 @@ def main_text(html: str, weights: dict[str, float]) -> str:
 
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most sample_pages pages."""
-    sample = pages.select("html").where("html is not null").orderBy(F.xxhash64("html")).limit(sample_pages)
+    order = F.xxhash64("html")
+    last = pages.where("html is not null").select(order.alias("h")).distinct().orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]  # the hash alone is sorted, not the pages
+    sample = pages.select("html").where("html is not null").where(order <= F.lit(last)) if last is not None else pages.select("html").limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
