@@ -24,9 +24,10 @@ from attesta.llm.words import U64, WordHash, lower_ascii, rolling
 SHINGLE, MIN_CONTAINMENT = 5, (8, 10)
 HASHES, SMALLEST = 64, 16
 ITEM_BLOCK = 20_000
+DOCS_AT_ONCE = 128
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared_shingles long"
+#: Shingle hashes are mixed already; an odd factor permutes them, and each factor orders them anew.
 _MULT = (np.random.default_rng(12).integers(1, 1 << 62, HASHES, dtype=np.uint64) << U64(1)) | U64(1)
-_ADD = np.random.default_rng(13).integers(0, 1 << 62, HASHES, dtype=np.uint64)
 _TABLE_BITS = 16
 
 
@@ -36,7 +37,7 @@ def _shingles(words: list[bytes], width: int) -> list[bytes]:
 
 def _values(shingles: np.ndarray) -> np.ndarray:
     """HASHES x shingles."""
-    return ((shingles[None, :] * _MULT[:, None]) + _ADD[:, None]) >> U64(16)
+    return shingles[None, :] * _MULT[:, None]
 
 
 class Items:
@@ -66,47 +67,61 @@ class Items:
             order = np.argsort(sign, axis=0)
             table = np.zeros((HASHES, 1 << _TABLE_BITS), bool)
             for h in range(HASHES):
-                table[h, (sign[:, h] >> U64(48 - _TABLE_BITS)).astype(np.int64)] = True
+                table[h, (sign[:, h] >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
             self.levels[level] = ([sign[order[:, h], h] for h in range(HASHES)], [np.array(members)[order[:, h]] for h in range(HASHES)], table)
 
-    def candidates(self, shingles: np.ndarray) -> set[int]:
-        """Numbers of items that share a signature value with a window of the document."""
-        n = len(shingles)
-        if not n or not self.levels:
-            return set()
-        blocks = -(-n // SMALLEST)
-        sign = np.empty((HASHES, blocks), U64)
-        starts = np.arange(0, n, SMALLEST)
-        for a in range(0, blocks, 64):  # 64 blocks at a time stay in the cache
-            b = min(blocks, a + 64)
-            part = _values(shingles[a * SMALLEST : min(n, b * SMALLEST)])
-            sign[:, a:b] = np.minimum.reduceat(part, starts[a:b] - a * SMALLEST, axis=1)
-        found: set[int] = set()
+    def candidates(self, cut: list[list[bytes]], hasher: WordHash) -> list[set[int]]:
+        """For each document's words, numbers of items that share a signature value with a window of it.
+
+        Documents stand one after another, each from a block's start; a window that reaches into the next document proposes for both."""
+        found: list[set[int]] = [set() for _ in cut]
+        picked = [k for k, words in enumerate(cut) if len(words) >= self.width]
+        if not picked or not self.levels:
+            return found
+        sizes = np.array([len(cut[k]) for k in picked])
+        ends = np.cumsum(sizes)
+        whole = rolling(np.concatenate([hasher.of(cut[k]) for k in picked]), self.width)
+        starts = [np.arange(a, a + n - self.width + 1, SMALLEST) for a, n in zip((ends - sizes).tolist(), sizes.tolist(), strict=True)]
+        counts = [len(s) for s in starts]
+        owner, starts = np.repeat(np.array(picked), counts), np.concatenate(starts)
+        stops = np.minimum(starts + SMALLEST, np.repeat(ends - self.width + 1, counts))
+        lens = stops - starts
+        take = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+        shingles, begins = whole[take], np.cumsum(lens) - lens
+        sign = np.empty((HASHES, len(starts)), U64)
+        for a in range(0, len(starts), 32):  # 32 blocks at a time stay in the cache
+            b = min(len(starts), a + 32)
+            stop = begins[b] if b < len(starts) else len(shingles)
+            sign[:, a:b] = np.minimum.reduceat(_values(shingles[begins[a] : stop]), begins[a:b] - begins[a], axis=1)
         for level in range(max(self.levels) + 1):
             if level in self.levels:
                 values, members, table = self.levels[level]
                 window = np.minimum(sign[:, :-1], sign[:, 1:]) if sign.shape[1] > 1 else sign
-                hit_h, hit_w = np.nonzero(table[np.arange(HASHES)[:, None], (window >> U64(48 - _TABLE_BITS)).astype(np.int64)])
+                hit_h, hit_w = np.nonzero(table[np.arange(HASHES)[:, None], (window >> U64(64 - _TABLE_BITS)).astype(np.int64)])
                 for h in np.unique(hit_h):
-                    x = np.unique(window[h, hit_w[hit_h == h]])
-                    lo, hi = np.searchsorted(values[h], x, "left"), np.searchsorted(values[h], x, "right")
-                    for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
-                        found.update(members[h][a:b].tolist())
+                    at = hit_w[hit_h == h]
+                    lo, hi = np.searchsorted(values[h], window[h, at], "left"), np.searchsorted(values[h], window[h, at], "right")
+                    for w, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                        items = members[h][a:b].tolist()
+                        for doc in np.unique(owner[w << level : (w + 2) << level]).tolist():
+                            found[doc].update(items)
             if sign.shape[1] > 1:
                 if sign.shape[1] % 2:
                     sign = np.concatenate([sign, sign[:, -1:]], axis=1)
                 sign = np.minimum(sign[:, ::2], sign[:, 1::2])
         return found
 
-    def matches(self, text: bytes, hasher: WordHash) -> list[tuple[int, int, int]]:
-        """(item_id, distinct shingles of the item, how many of them are in the text) of each verified item."""
-        words = lower_ascii(text).split()
-        picked = self.candidates(rolling(hasher.of(words), self.width))
+    def matches(self, texts: list[bytes], hasher: WordHash) -> Iterator[list[tuple[int, int, int]]]:
+        """For each text, (item_id, distinct shingles of the item, how many of them are in the text) of each verified item."""
+        for k in range(0, len(texts), DOCS_AT_ONCE):
+            cut = [lower_ascii(t).split() for t in texts[k : k + DOCS_AT_ONCE]]
+            for words, picked in zip(cut, self.candidates(cut, hasher), strict=True):
+                yield self._verified(words, picked)
+
+    def _verified(self, words: list[bytes], picked: set[int]) -> list[tuple[int, int, int]]:
         for w, table in self.short.items():
             for s in set(_shingles(words, w)) & table.keys():
                 picked.update(table[s])
-        if not picked:
-            return []
         own = {w: set(_shingles(words, w)) for w in {self.sets[k][2] for k in picked}}
         num, den = MIN_CONTAINMENT
         out = []
@@ -133,7 +148,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE, blo
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             own, hasher = Items(known.value, width), WordHash()
             for b in batches:
-                got = [(doc_id, *m) for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True) for m in own.matches(text, hasher)]
+                got = [(doc_id, *m) for doc_id, found in zip(b.column(0).to_pylist(), own.matches(texts_of(b.column(1)), hasher), strict=True) for m in found]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "item_id", "item_shingles", "shared_shingles"])
 
@@ -155,7 +170,7 @@ def without_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE) -> Da
         def run(batches: Iterator[pa.RecordBatch], known=known, place=place) -> Iterator[pa.RecordBatch]:
             own, hasher = Items(known.value, width), WordHash()
             for b in batches:
-                keep = [not own.matches(text, hasher) for text in texts_of(b.column(place))]
+                keep = [not found for found in own.matches(texts_of(b.column(place)), hasher)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)
