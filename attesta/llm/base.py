@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -71,6 +72,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are cut: it does so once their plans are collected as garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -8,7 +8,8 @@ anchored: the reference document's aligned blocks are the index, and every rolli
 2. A document's live anchors extend to the windows around them; only these get a 128-bit digest of their words, and the least document of each digest is found.
 3. A window whose digest has a smaller first document is removed; the union of such windows is the union of the maximal repeats.
 
-No step collects a group: sums are partial minima, and digests that many documents share are joined by broadcast (their number is bounded by HOT)."""
+Entries travel packed, so a shuffle moves 4 bytes for a probe and 20 for a candidate window, and a task of either meeting holds one hash range: its size is set by BUCKET_BYTES,
+not by the input. A window that very many documents share adds one entry for each of them to its range."""
 
 from __future__ import annotations
 
@@ -25,8 +26,6 @@ from attesta.llm.words import U64, WordHash, rolling
 
 WIDTH, BLOCK = 13, 7
 BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
-#: A digest with at least 1 / HOT of all candidate windows is hot; there are at most HOT of these.
-HOT = 2000
 
 
 def _places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +115,29 @@ def _live(rows: pa.Table) -> pa.Table:
 
 
 def _windows(width: int, block: int, buckets: int) -> object:
-    """Windows around live anchors, with digests of their words."""
+    """Windows around live anchors, packed by bucket: 128-bit digests of their words, their starts, and the rows (doc_id, tag) with the number of windows of each."""
+
+    def pack(rows: list[tuple[int, int]], begins: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
+        keys = np.frombuffer(b"".join(digests), U64).reshape(-1, 2)
+        starts = np.concatenate(begins).astype(np.int32)
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in begins])
+        bucket = (keys[:, 0] >> U64(20)) % U64(buckets)
+        order = np.argsort(bucket, kind="stable")  # by row within a bucket
+        bucket, row, keys, starts = bucket[order], row[order], keys[order], starts[order]
+        ids, tags = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+        out = []
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+            runs = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
+            lens = np.diff(np.append(runs, b - a)).astype(np.uint32)
+            which = row[a:b][runs]
+            out.append((int(bucket[a]), keys[a:b].tobytes(), starts[a:b].tobytes(), ids[which].tobytes(), tags[which].tobytes(), lens.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], ["bucket", "keys", "starts", "docs", "tags", "lens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
+        rows, begins, digests = [], [], []
         for b in batches:
-            ids, tags, begins, digests = [], [], [], []
             for doc_id, tag, live, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b.column(3)), strict=True):
                 words = text.split()
                 if len(words) < width:
@@ -133,17 +149,37 @@ def _windows(width: int, block: int, buckets: int) -> object:
                 np.add.at(mark, np.maximum(anchors - (width - block), 0), 1)
                 np.add.at(mark, anchors + 1, -1)
                 at = np.flatnonzero(np.cumsum(mark)[: len(words) - width + 1] > 0)
-                ids += [doc_id] * len(at)
-                tags += [tag] * len(at)
-                begins.append(at)
-                digests += [xxhash.xxh3_128_digest(b" ".join(words[k : k + width])) for k in at.tolist()]
-            if ids:
-                pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["doc_id", "tag", "start", "k1", "k2"])
+                if len(at):
+                    rows.append((doc_id, tag))
+                    begins.append(at)
+                    digests += [xxhash.xxh3_128_digest(b" ".join(words[k : k + width])) for k in at.tolist()]
+                if len(digests) >= FLUSH // 8:
+                    yield pack(rows, begins, digests)
+                    rows, begins, digests = [], [], []
+        if rows:
+            yield pack(rows, begins, digests)
 
     return run
 
 
+def _later(rows: pa.Table) -> pa.Table:
+    """Starts of the windows whose digest a smaller document has, by (doc_id, tag)."""
+    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
+    keys, lens = read("keys", U64).reshape(-1, 2), read("lens", np.uint32)
+    run = np.repeat(np.arange(len(lens)), lens)
+    ids, tags, starts = read("docs", np.int64), read("tags", np.int32), read("starts", np.int32)
+    docs = ids[run]
+    order = np.lexsort((docs, keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    begin = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+    first = docs[order][np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))]
+    gone = np.sort(order[docs[order] > first])  # in the order they came: by run
+    run, starts = run[gone], starts[gone]
+    at = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.empty(0, np.int64)
+    ends = np.append(at[1:], len(run))
+    return pa.table({"doc_id": pa.array(ids[run[at]], pa.int64()), "tag": pa.array(tags[run[at]], pa.int32()), "starts": pa.array([starts[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+
+
 def _cut(width: int) -> object:
     """Adds n_words, n_removed and kept to rows whose first two columns are the text and the starts of removed windows."""
 
@@ -155,7 +191,7 @@ def _cut(width: int) -> object:
                 n.append(len(words))
                 if starts.is_valid:
                     mark = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(starts.values.to_numpy())
+                    at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in starts.as_py()]))
                     np.add.at(mark, at, 1)
                     np.add.at(mark, at + width, -1)
                     stay = np.flatnonzero(np.cumsum(mark)[:-1] == 0)
@@ -177,19 +213,16 @@ def _removed(docs: DataFrame, scratch: Scratch, width: int, block: int) -> DataF
     buckets = max(12, -(-size // BUCKET_BYTES))
     entries = map_arrow(docs.select("doc_id", "text"), _entries(width, block, buckets), "bucket long, keys binary, docs binary, lens binary")
     live = scratch.cut(entries.groupBy("bucket").applyInArrow(_live, "doc_id long, bucket long, live binary"), "live")
+    del entries
+    scratch.release()
     mine = live.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "live")).alias("live"))  # at most the document's own anchors
     candidates = docs.select("doc_id", F.hash("text").alias("tag"), "text").join(mine, "doc_id").select("doc_id", "tag", "live", "text")
-    windows = scratch.cut(map_arrow(candidates, _windows(width, block, buckets), "doc_id long, tag int, start int, k1 long, k2 long"), "windows")
+    windows = map_arrow(candidates, _windows(width, block, buckets), "bucket long, keys binary, starts binary, docs binary, tags binary, lens binary")
+    removed = scratch.cut(windows.groupBy("bucket").applyInArrow(_later, "doc_id long, tag int, starts binary"), "removed")
+    del windows, candidates, mine, live
     scratch.drop("live")
-    first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
-    first = scratch.cut(first, "first")
-    total = windows.count()
-    hot = first.where(F.col("n") * HOT >= F.lit(total)).select("k1", "k2", F.col("first").alias("hot"))  # at most HOT rows
-    cold = first.where(F.col("n") * HOT < F.lit(total)).select("k1", "k2", "first")
-    rows = windows.join(F.broadcast(hot), ["k1", "k2"], "left")
-    rows = rows.withColumn("k1", F.when(F.col("hot").isNull(), F.col("k1")).otherwise(F.xxhash64("doc_id", "start")))  # hot ones are done; deal them evenly
-    rows = rows.join(cold, ["k1", "k2"], "left").where(F.coalesce("hot", "first") < F.col("doc_id"))
-    return rows.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))  # at most the document's own words
+    scratch.release()
+    return removed.groupBy("doc_id", "tag").agg(F.collect_list("starts").alias("starts"))  # at most the document's own words
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
