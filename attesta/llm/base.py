@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import io
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -74,8 +75,10 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of steps that are cut: it does so once their plans are collected as garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first round frees plans that Python held, the second what these held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
