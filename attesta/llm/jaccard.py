@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join with a heavy-light split by set size.
 
-Exact copies of a shingle set are one class. Two sets of similarity t or more are found by a key that both have:
+Exact copies of a shingle set are one class. A class can have a partner only if at least t of its shingles are in other classes too; all shingles meet once, packed, by hash range, and classes with more shingles of their own drop out (documents that share a passage
+mostly do). Two sets of similarity t or more are found by a key that both have:
 
 - light sets (at most `boundary` shingles) enumerate the fixed-size subsets (pairs) of the prefix that must share two shingles with any partner: the first
   n - ceil(t n) + 2 of the set in one global order;
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
 from attesta.llm.graph import components
-from attesta.llm.words import U64, WordHash, lower_ascii, mix, shingle_set
+from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_entries, shingle_set
 
 BAND = 1.25
 #: A cluster above either is compared in blocks of half that.
 CLUSTER_SETS, CLUSTER_SHINGLES = 3000, 2_000_000
+BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
 _SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
 
@@ -98,7 +100,7 @@ def keys_of(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
             if k - len(full) > e:
                 empty = np.setdiff1d(np.arange(k, dtype=np.int64), sorted_part).astype(U64)
                 full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), U64)])
-            out.append(mix(mix(sums + full * _PART) + U64(j + 1) * _BANDS))
+            out.append(mix(mix(sums + full * _PART) + np.full(1, j + 1, U64) * _BANDS))
     return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
 
 
@@ -111,20 +113,72 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _describe(width: int, num: int, den: int) -> object:
+def _node(mark: bytes) -> int:
+    return int.from_bytes(mark[:8], "little", signed=True)
+
+
+def _describe(width: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        for b in batches:
+            sets = [shingle_set(hasher.of(lower_ascii(text).split()), width) for text in texts_of(b.column(1))]
+            prints = [fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([_node(p) for p in prints], pa.int64())], ["doc_id", "n", "print", "node"])
+
+    return run
+
+
+def _entries(width: int, buckets: int) -> object:
+    """Packed 32-bit keys of all shingles, by hash range and class."""
+    bits = max(1, (buckets - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHash()
+        nodes, parts, held = [], [], 0
+        for b in batches:
+            for text in texts_of(b.column(0)):
+                s = shingle_set(hasher.of(lower_ascii(text).split()), width)
+                if not len(s):
+                    continue
+                parts.append((((s >> U64(32)) % U64(buckets)) << U64(63 - bits)) | (U64(len(nodes)) << U64(32)) | (s & U64(0xFFFFFFFF)))
+                nodes.append(_node(fingerprint(s)))
+                held += len(s)
+                if held >= FLUSH or len(nodes) >= 1 << (31 - bits):
+                    yield pack_entries(nodes, parts, bits)
+                    nodes, parts, held = [], [], 0
+        if nodes:
+            yield pack_entries(nodes, parts, bits)
+
+    return run
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """For each class, how many of its keys in this range another class has."""
+    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
+    names, rank = np.unique(read("docs", np.int64), return_inverse=True)
+    flat = (read("keys", np.uint32).astype(U64) << U64(32)) | np.repeat(rank.astype(U64), read("lens", np.uint32))
+    flat.sort()
+    flat = flat[np.append(True, flat[1:] != flat[:-1])]
+    key = flat >> U64(32)
+    differs = key[1:] != key[:-1]
+    alone = np.append(True, differs) & np.append(differs, True)
+    count = np.bincount((flat[~alone] & U64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+    some = np.flatnonzero(count)
+    return pa.table({"node": pa.array(names[some], pa.int64()), "shared": pa.array(count[some], pa.int64())})
+
+
+def _keys(width: int, num: int, den: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         for b in batches:
-            n, prints, keys = [], [], []
-            for text in texts_of(b.column(1)):
+            keys, nodes = [], []
+            for node, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
                 s = shingle_set(hasher.of(lower_ascii(text).split()), width)
-                n.append(len(s))
-                prints.append(fingerprint(s))
-                keys.append(keys_of(s, num, den))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate([*keys, np.empty(0, U64)]).view(np.int64)
-            node = np.array([int.from_bytes(p[:8], "little", signed=True) for p in prints], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(node), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "print", "node", "keys"])
+                if fingerprint(s) == mark:  # a repeated doc_id may bring another text
+                    keys.append(keys_of(s, num, den).view(np.int64))
+                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], ["node", "key"])
 
     return run
 
@@ -197,26 +251,38 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near")
-    described = scratch.cut(map_arrow(docs.select("doc_id", "text"), _describe(width, num, den), "doc_id long, n long, print binary, node long, keys array<bigint>"), "sets")
-    some = described.where("n > 0 and doc_id is not null")
-    reps = scratch.cut(some.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("node").alias("node")), "classes")
-    # One row of each class gives its keys.
-    keyed = some.join(reps.select("print", "doc_id"), ["print", "doc_id"], "left_semi").select("node", F.explode("keys").alias("key"))
+    described = scratch.cut(map_arrow(docs.select("doc_id", "text"), _describe(width), "doc_id long, n long, print binary, node long"), "sets")
+    classes = described.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("node").alias("node"))
+    reps = scratch.cut(classes, "classes")
+    buckets = max(12, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    entries = map_arrow(docs.where("doc_id is not null").select("text"), _entries(width, buckets), ENTRIES)
+    shared = scratch.cut(entries.groupBy("bucket").applyInArrow(_shared, "node long, shared long"), "shared")
+    del entries
+    scratch.release()
+    some = reps.join(shared.groupBy("node").agg(F.sum("shared").alias("shared")), "node").where(F.col("shared") * den >= F.col("n") * num)
+    picked = scratch.cut(some.select("node", "print", "n", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("node", "print", "n", "doc_id", "text"), "picked")
+    del some
+    scratch.drop("shared")
+    scratch.release()
+    keyed = map_arrow(picked.select("node", "print", "text"), _keys(width, num, den), "node long, key long")
     hub = F.min("node").over(Window.partitionBy("key"))
     clusters = components(scratch, keyed.select(F.col("node").alias("a"), hub.alias("b")).where("a != b"), "candidates")
-    members = scratch.cut(clusters.join(reps, "node").select("label", "doc_id", "print", "n"), "members")
+    scratch.release()
+    members = scratch.cut(clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "doc_id", "print", "n"), "members")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(2 * F.count("*") / CLUSTER_SETS), F.ceil(2 * F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
     sizes = scratch.cut(sizes.withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1)), "blocks")
     split = sizes.where("blocks > 1").limit(1).count() > 0
     mine = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "label").withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("label", F.least("_m", "_o").alias("i"), F.greatest("_m", "_o").alias("j"), "doc_id", "print")
-    texts = placed.join(docs.select("doc_id", "text"), "doc_id").select("label", "i", "j", "doc_id", "print", "text")
+    texts = placed.join(picked.select("doc_id", "print", "text"), ["doc_id", "print"]).select("label", "i", "j", "doc_id", "print", "text")
     links = map_arrow(texts.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"), _compare(width, num, den), "a long, b long")
     links = components(scratch, links, "links").withColumnRenamed("node", "a").withColumnRenamed("label", "b") if split else scratch.cut(links, "links")
-    classes = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
-    classes = scratch.cut(classes, "components")
-    out = described.select("doc_id", "n", "print").join(classes, "print", "left")
+    known = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
+    known = scratch.cut(known, "components")
+    scratch.drop("picked")
+    scratch.release()
+    out = described.select("doc_id", "n", "print").join(known, "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
-from attesta.llm.words import U64, WordHash, rolling
+from attesta.llm.words import ENTRIES, U64, WordHash, pack_entries, rolling
 
 WIDTH, BLOCK = 13, 7
 BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
@@ -38,25 +38,6 @@ def _entries(width: int, block: int, buckets: int) -> object:
     bits = max(1, (buckets - 1).bit_length())
     most_docs = 1 << (31 - bits)
 
-    def pack(docs: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(parts)
-        flat.sort()
-        flat = flat[np.append(True, flat[1:] != flat[:-1])]
-        run = flat >> U64(32)
-        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        lens = np.diff(np.append(starts, len(flat))).astype(np.uint32)
-        which = (run[starts] & U64(most_docs - 1)).astype(np.int64)
-        bucket = (run[starts] >> U64(31 - bits)).astype(np.int64)
-        ids = np.array(docs, np.int64)[which]
-        keys = flat.astype(np.uint32)
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = np.append(cuts[1:], len(bucket))
-        at = np.append(starts, len(flat))
-        return pa.RecordBatch.from_arrays([
-            pa.array(bucket[cuts], pa.int64()), pa.array([keys[at[a] : at[b]].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-            pa.array([ids[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([lens[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        ], ["bucket", "keys", "docs", "lens"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHash()
         docs, parts, held = [], [], 0
@@ -72,10 +53,10 @@ def _entries(width: int, block: int, buckets: int) -> object:
                 docs.append(doc_id)
                 held += len(key)
                 if held >= FLUSH or len(docs) >= most_docs:
-                    yield pack(docs, parts)
+                    yield pack_entries(docs, parts, bits)
                     docs, parts, held = [], [], 0
         if docs:
-            yield pack(docs, parts)
+            yield pack_entries(docs, parts, bits)
 
     return run
 
@@ -211,7 +192,7 @@ def _removed(docs: DataFrame, scratch: Scratch, width: int, block: int) -> DataF
         raise ValueError("a window must hold exactly one aligned block: width = 2 * block - 1")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-size // BUCKET_BYTES))
-    entries = map_arrow(docs.select("doc_id", "text"), _entries(width, block, buckets), "bucket long, keys binary, docs binary, lens binary")
+    entries = map_arrow(docs.select("doc_id", "text"), _entries(width, block, buckets), ENTRIES)
     live = scratch.cut(entries.groupBy("bucket").applyInArrow(_live, "doc_id long, bucket long, live binary"), "live")
     del entries
     scratch.release()

@@ -5,6 +5,7 @@ bytes.split() cuts exactly at space and \\t to \\r, and no such byte is part of
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
@@ -60,3 +61,26 @@ LOWER_ASCII = bytes.maketrans(_UPPER, _LOWER)
 
 def lower_ascii(text: bytes) -> bytes:
     return text.translate(LOWER_ASCII)
+
+
+ENTRIES = "bucket long, keys binary, docs binary, lens binary"
+
+
+def pack_entries(docs: list[int], parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Entries (bucket << 63 - bits | number of the document << 32 | 32-bit key) without repeats, as a row for each bucket: keys, then documents and the number of entries of each."""
+    most_docs = 1 << (31 - bits)
+    flat = np.concatenate(parts)
+    flat.sort()
+    flat = flat[np.append(True, flat[1:] != flat[:-1])]
+    run = flat >> _S
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    lens = np.diff(np.append(starts, len(flat))).astype(np.uint32)
+    ids = np.array(docs, np.int64)[(run[starts] & U64(most_docs - 1)).astype(np.int64)]
+    bucket = (run[starts] >> U64(31 - bits)).astype(np.int64)
+    keys = flat.astype(np.uint32)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends, at = np.append(cuts[1:], len(bucket)), np.append(starts, len(flat))
+    return pa.RecordBatch.from_arrays([
+        pa.array(bucket[cuts], pa.int64()), pa.array([keys[at[a] : at[b]].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+        pa.array([ids[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([lens[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+    ], ["bucket", "keys", "docs", "lens"])
