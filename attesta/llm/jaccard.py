@@ -32,7 +32,7 @@ from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_ent
 
 BAND = 1.25
 #: A cluster above either is compared in blocks of half that.
-CLUSTER_SETS, CLUSTER_SHINGLES = 3000, 2_000_000
+CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
 BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
 _SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
@@ -194,7 +194,7 @@ def linked_groups(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     row, column = row[shared], column[shared]
     names, column = np.unique(column, return_inverse=True)
     common = np.zeros((m, m), np.float32)
-    step = max(256, (1 << 24) // max(m, 1))
+    step = max(256, (1 << 22) // max(m, 1))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for a in range(0, len(names), step):
@@ -202,7 +202,8 @@ def linked_groups(sets: list[np.ndarray], num: int, den: int) -> list[int]:
         x = np.zeros((m, min(step, len(names) - a)), np.float32)
         x[row[i:j], column[i:j] - a] = 1
         common += x @ x.T
-    link = (num + den) * common.astype(np.int64) >= num * (sizes[:, None] + sizes[None, :])
+    sizes = sizes.astype(np.int64 if sizes.max() * (num + den) > 1 << 30 else np.int32)
+    link = common.astype(sizes.dtype) * sizes.dtype.type(num + den) >= (sizes * num)[:, None] + (sizes * num)[None, :]
     out = [-1] * m
     for k in range(m):
         if out[k] < 0:
@@ -228,7 +229,7 @@ def _compare(width: int, num: int, den: int) -> object:
             return [(ids[k], ids[g]) for k, g in enumerate(group) if g != k]
 
         for b in batches:
-            out = []
+            out: list[tuple[int, int]] = []
             for label, i, j, doc_id, mark, text in zip(*(b.column(k).to_pylist() for k in range(5)), texts_of(b.column(5)), strict=True):
                 if (label, i, j) != now:
                     out += links()

@@ -16,7 +16,7 @@ _S = U64(32)
 class WordHash(dict):
     """xxh3 of a word, kept for up to `most` words; when full it starts anew, so memory is bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
