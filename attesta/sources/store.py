@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +24,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="attesta-"))
     return context.getCheckpointDir()
+
+
+def ship(spark: SparkSession) -> None:
+    """Before Python runs on executors: sends them this package's code, once for each context, as a zip file in the shared folder."""
+    context = spark.sparkContext
+    if getattr(context, "_attesta_shipped", False):
+        return
+    top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for path in sorted(top.rglob("*.py")):
+            z.write(path, path.relative_to(top.parent))
+    where = f"{checkpoint_dir(spark).rstrip('/')}/code-{uuid.uuid4().hex}/attesta.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(where)
+    context._attesta_shipped = True
