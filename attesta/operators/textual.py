@@ -18,8 +18,8 @@ from attesta.sources.store import ship
 CANDIDATE = "array<struct<claim string, source_sentence string, pos int, score int, signals array<string>, alerts array<string>, attribution string>>"
 
 
-def with_result(df: DataFrame, name: str, kind: str, f: Callable, *inputs: Column) -> DataFrame:
-    """df with column `name` = f(*inputs) for each row; inputs pass as Python values, null as None. Other columns stay as they are."""
+def with_result(df: DataFrame, name: str, kind: str, f: Callable, *inputs: Column, batched: bool = False) -> DataFrame:
+    """df with column `name` = f(*inputs) for each row; inputs pass as Python values, null as None. Other columns stay as they are. batched: f takes a batch's lists and returns a list, as models do."""
     ship(df.sparkSession)
     args = [f"_arg{k}" for k in range(len(inputs))]
     wide = df.withColumns(dict(zip(args, inputs, strict=True)))
@@ -31,7 +31,8 @@ def with_result(df: DataFrame, name: str, kind: str, f: Callable, *inputs: Colum
 
         arrow = to_arrow_type(schema[-1].dataType)
         for b in batches:
-            values = [f(*row) for row in zip(*(b.column(a).to_pylist() for a in args), strict=True)]
+            given = [b.column(a).to_pylist() for a in args]
+            values = f(*given) if batched else [f(*row) for row in zip(*given, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(values, arrow)], [*keep, name])
 
     return wide.mapInArrow(run, schema)
