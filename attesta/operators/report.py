@@ -9,7 +9,7 @@ from attesta.functions.text import iso_date
 
 # Texts of the report.
 RELATIONS = {"entailment": "apoia", "contradiction": "contradiz", "neutral": "neutro"}
-NOT_CALIBRATED = "Porcentagem não exibida: a VeritAI ainda não foi calibrada com dados rotulados."
+NOT_CALIBRATED = "Porcentagem não exibida: o serviço ainda não foi calibrado com dados rotulados."
 WEB = "A busca usa Bing News e GDELT; a cobertura pode ser incompleta."
 NO_STORE = "Checagens anteriores ainda não são consultadas em uma base própria."
 COPIES = "O agrupamento de cópias só detecta textos quase literais; matérias reescritas da mesma origem ainda contam como fontes independentes."
