@@ -1,4 +1,4 @@
-"""The evidence store (K1 to K7, S16, A5, A6): Parquet tables by load, and a manifest of loads that makes each visible at once.
+"""The evidence store (K1 to K3, K6, S16, A5, A6): Parquet tables by load, and a manifest of loads that makes each visible at once.
 
 A load writes its rows under its own id and joins the manifest last, so a load that fails or still runs is never read. Readers pass the snapshot (the ids) that they began with."""
 
