@@ -1,13 +1,14 @@
 """Brown-style class bigram model: exchange clustering, class transitions and word emissions.
 
-Every word of the training documents is counted. The units that are clustered are the frequent words (at least one token in FREQUENT; so
-there are at most FREQUENT of them at any size) and, for all other words, groups by their last letters; so every word, also one never seen,
-has a unit and through it a class. Unit bigrams are counted over all training tokens; exchange moves one unit at a time to the class that most
-raises the likelihood of the class bigrams. A word's probability in its class comes from its own count, less what Good and Turing leave to
-unseen words.
+Every word of the training documents is counted and gets a class of its own choice. The driver clusters a core: the frequent words (at least one
+token in FREQUENT; so there are at most FREQUENT of them at any size) and, for all other words, groups by their last letters; exchange moves one unit at a
+time to the class that most raises the likelihood of the class bigrams. From this start, ROUNDS of exchange run over all other training words, however
+many there are: each word's counts of neighbouring classes are made in Spark, and each word moves by itself to its best class, all words of a round at once.
+Only words that training never saw go by their last letters. A word's probability in its class comes from its own count, less what Good and Turing
+leave to unseen words.
 
-Counts of all words don't fit one machine, so they are not collected. Documents are dealt into buckets by id; a bucket asks for its distinct words,
-requests meet by hash range, sums are made there, and the answers return to the bucket when its documents are scored."""
+Counts and classes of all words don't fit one machine, so they are not collected. Documents are dealt into buckets by id; a bucket asks for its distinct words,
+requests meet by hash range, sums and moves are made there, and the answers return to the bucket. A bucket's texts are kept as numbers of its words."""
 
 from __future__ import annotations
 
@@ -26,8 +27,12 @@ from attesta.llm.words import U64, lower_ascii
 FREQUENT, SUFFIX_BITS, SUFFIX_BYTES = 2048, 10, 3
 SUFFIXES = 1 << SUFFIX_BITS
 CLASSES, SWEEPS = 64, 6
+#: Rounds of exchange over all words outside the core.
+ROUNDS = 2
+KINDS = CLASSES + 1
 BUCKET_BYTES = 24 << 20
 _MASK = U64(SUFFIXES - 1)
+_S, _N = U64(32), U64((1 << 32) - 1)
 END_ID = (xxhash.xxh3_64_intdigest(b"\n") >> SUFFIX_BITS << SUFFIX_BITS) | (SUFFIXES - 1)  # no word holds a line end, and no word has the last suffix
 
 
@@ -64,19 +69,32 @@ def _parts(texts: list[bytes], size: int = 256) -> Iterator[tuple[int, np.ndarra
 
 @dataclass
 class ClassModel:
-    """frequent: sorted ids; classes: by unit (frequent words, suffixes, end). known[k], unseen[k]: log10 factors of a class's words; trans: log10 of class k after class j."""
+    """suffixes: the class of unseen words by suffix. known[k], unseen[k]: log10 factors of a class's words; trans: log10 of class k after class j."""
 
-    frequent: np.ndarray
-    classes: np.ndarray
+    suffixes: np.ndarray
     known: np.ndarray
     unseen: np.ndarray
     trans: np.ndarray
     n: int
     v: int
 
+
+@dataclass
+class Core:
+    """frequent: sorted ids; classes: by unit (frequent words, suffixes, end); table: the class bigrams."""
+
+    frequent: np.ndarray
+    classes: np.ndarray
+    table: np.ndarray
+    n: int
+    v: int
+
     def of(self, ids: np.ndarray) -> np.ndarray:
         return self.classes[units(ids, self.frequent)]
 
+    def fixed(self, ids: np.ndarray) -> np.ndarray:
+        return (units(ids, self.frequent) < len(self.frequent)) | (ids == U64(END_ID))
+
 
 def units(ids: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     out = (ids & _MASK).astype(np.int64) + len(frequent)
@@ -144,23 +162,39 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return at
 
 
-def _requests(bucket_count: int, training: int) -> object:
+ASKED = "part int, bucket int, ids binary, counts binary, docs array<bigint>, train array<boolean>, starts binary, stream binary"
+COUNTS = "part int, bucket int, ids binary, counts binary, stat array<bigint>, top array<struct<id:bigint,n:bigint>>"
+CONTEXTS = "part int, bucket int, ids binary, counts binary, classes binary, lens binary, codes binary, ns binary"
+MOVED = "part int, bucket int, ids binary, counts binary, classes binary, stat array<bigint>, once array<struct<suffix:int,class:int,n:bigint>>"
+
+
+def _requests(bucket_count: int) -> object:
+    """Two kinds of rows: a bucket's words for each hash range, and (part null) texts as positions in the bucket's sorted words."""
+
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         texts, train = texts_of(docs["text"].combine_chunks()), np.array(docs["train"].to_pylist(), bool)
-        ids, counts = [], []
+        ids, counts, kept = [], [], []
         for k, stream, starts in _parts(texts, 2048):
             is_train = np.repeat(train[k : k + len(starts)], np.diff(np.append(starts, len(stream))))
             uniq, inverse = np.unique(stream, return_inverse=True)
             ids.append(uniq)
             counts.append(np.bincount(inverse[is_train], minlength=len(uniq)))
+            kept.append((k, starts, inverse.astype(np.uint32)))
         uniq, inverse = np.unique(np.concatenate(ids), return_inverse=True)
         total = np.bincount(inverse, np.concatenate(counts), len(uniq)).astype(np.uint32)
         part = ((uniq >> U64(40)) % U64(bucket_count)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(bucket_count + 1))
         rows = [(h, order[a:b]) for h, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        me = key[0].as_py()
-        return pa.table({"part": pa.array([h for h, _ in rows], pa.int32()), "bucket": pa.array([me] * len(rows), pa.int32()), "ids": pa.array([uniq[o].tobytes() for _, o in rows], pa.binary()), "counts": pa.array([total[o].tobytes() for _, o in rows], pa.binary())})
+        me, no, docs_of, train_of = key[0].as_py(), [None] * len(rows), docs["doc_id"].to_pylist(), train.tolist()
+        none = [None] * len(kept)
+        streams = [np.searchsorted(uniq, own).astype(np.uint32)[local].tobytes() for own, (_, _, local) in zip(ids, kept, strict=True)]
+        return pa.table({
+            "part": pa.array([h for h, _ in rows] + none, pa.int32()), "bucket": pa.array([me] * (len(rows) + len(kept)), pa.int32()),
+            "ids": pa.array([uniq[o].tobytes() for _, o in rows] + none, pa.binary()), "counts": pa.array([total[o].tobytes() for _, o in rows] + none, pa.binary()),
+            "docs": pa.array(no + [docs_of[k : k + len(s)] for k, s, _ in kept], pa.list_(pa.int64())), "train": pa.array(no + [train_of[k : k + len(s)] for k, s, _ in kept], pa.list_(pa.bool_())),
+            "starts": pa.array(no + [s.astype(np.int64).tobytes() for _, s, _ in kept], pa.binary()), "stream": pa.array(no + streams, pa.binary()),
+        })
 
     return run
 
@@ -180,7 +214,7 @@ def _sums(requests: pa.Table) -> pa.Table:
     top = np.flatnonzero((total * FREQUENT >= n) & seen)  # at most FREQUENT, and all that are frequent in the whole
     rest = len(ids) - 1
     return pa.table({
-        "bucket": requests["bucket"], "ids": requests["ids"], "counts": pa.array(answers, pa.binary()),
+        "part": requests["part"], "bucket": requests["bucket"], "ids": requests["ids"], "counts": pa.array(answers, pa.binary()),
         "stat": pa.array([stat.ravel().tolist()] + [None] * rest, pa.list_(pa.int64())),
         "top": pa.array([[{"id": int(i), "n": int(t)} for i, t in zip(uniq[top].view(np.int64), total[top], strict=True)]] + [None] * rest, pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))),
     })
@@ -213,8 +247,8 @@ def _pairs(frequent: np.ndarray, block: int = 64) -> object:
     return run, add, size
 
 
-def fit(counts: DataFrame, docs: DataFrame, train: str) -> ClassModel:
-    """counts: what _sums gave; docs(text), of which `train` is a condition. Collects statistics of units only: their number is bounded by FREQUENT and SUFFIXES."""
+def fit_core(counts: DataFrame, docs: DataFrame, train: str) -> Core:
+    """counts: what _sums gave; docs(text), of which `train` is a condition. Collects statistics of the core's units only: their number is bounded by FREQUENT and SUFFIXES."""
     stats = counts.where("stat is not null")
     sums = np.array([r[0] for r in stats.select(F.posexplode("stat").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0] * 3 * SUFFIXES, np.int64).reshape(3, SUFFIXES)
     n, v = int(sums[0].sum()), int(sums[1].sum())
@@ -227,49 +261,189 @@ def fit(counts: DataFrame, docs: DataFrame, train: str) -> ClassModel:
     for row, at, x in blocks.toLocalIterator():
         pairs[row * size + np.frombuffer(at, np.int64)] = np.frombuffer(x, np.int64)
     at = exchange(pairs.reshape(size, size))
-    k = CLASSES + 1
-    # Words, tokens and words seen once by unit, then by class.
-    unit = np.zeros((3, size), np.int64)
-    unit[:, len(frequent) : -1] = sums
-    for j, (i, c) in enumerate(top):
-        own = np.array([c, 1, int(c == 1)])
-        unit[:, j] += own
-        unit[:, len(frequent) + (i & (SUFFIXES - 1))] -= own
-    ends = unit[:, len(frequent) + SUFFIXES - 1].copy()  # the end is the one token with the last suffix
-    unit[:, len(frequent) + SUFFIXES - 1] = 0
-    unit[:, -1] = ends
-    tokens, _, once = (np.bincount(at, x, k) for x in unit)
-    unseen = (once + 0.5) / (tokens + 1)
-    unseen[-1] = 0.5 / (tokens[-1] + 1)
-    one = np.eye(k)[at]
-    table = one.T @ pairs.reshape(size, size) @ one
-    trans = np.log10((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * k))
     classes = at.copy()
     classes[len(frequent) + SUFFIXES - 1] = CLASSES  # by its id, the end is in the last suffix
-    return ClassModel(frequent, classes, np.log10((1 - unseen) / np.maximum(tokens, 1)), np.log10(unseen), trans, n, v)
+    one = np.eye(KINDS)[at]
+    return Core(frequent, classes, one.T @ pairs.reshape(size, size) @ one, n, v)
+
+
+def _words(state: pa.Table, core: Core) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's sorted word ids with their training counts and classes."""
+    ids = np.concatenate([np.frombuffer(x, U64) for x in state["ids"].to_pylist()] or [np.empty(0, U64)])
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in state["counts"].to_pylist()] or [np.empty(0, np.int64)])
+    order = np.argsort(ids)
+    ids, counts = ids[order], counts[order]
+    if "classes" not in state.column_names:
+        return ids, counts, core.of(ids).astype(np.uint8)
+    return ids, counts, np.concatenate([np.frombuffer(x, np.uint8) for x in state["classes"].to_pylist()] or [np.empty(0, np.uint8)])[order]
+
+
+def _texts(streams: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    for docs, train, starts, stream in zip(*(streams[x].to_pylist() for x in ("docs", "train", "starts", "stream")), strict=True):
+        if docs is not None:
+            yield docs, np.array(train, bool), np.frombuffer(starts, np.int64), np.frombuffer(stream, np.uint32)
+
+
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Positions of the runs of `lens` from `starts`."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
 
 
-def _scores(model: object) -> object:
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _transitions(core: object) -> object:
+    """A bucket's class bigrams over training tokens."""
+
+    def run(streams: pa.Table, state: pa.Table) -> pa.Table:
+        _, _, classes = _words(state, core.value)
+        table = np.zeros(KINDS * KINDS, np.int64)
+        for _, train, starts, stream in _texts(streams):
+            k = classes[stream].astype(np.int64)
+            before = np.concatenate([[CLASSES], k[:-1]])
+            table += np.bincount((before * KINDS + k)[np.repeat(train, np.diff(np.append(starts, len(stream))))], minlength=KINDS * KINDS)
+        return pa.table({"table": pa.array([table.tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _contexts(core: object) -> object:
+    """For each word of a bucket outside the core, how often each class stands before it (code: the class) and after it (KINDS + the class) in training documents."""
+
+    def run(streams: pa.Table, state: pa.Table) -> pa.Table:
+        ids, _, classes = _words(state, core.value)
+        kind = np.uint32 if len(ids) * 2 * KINDS < 1 << 32 else np.int64
+        free, keys = ~core.value.fixed(ids), [np.empty(0, kind)]
+        for _, train, starts, stream in _texts(streams):
+            word, k = stream.astype(kind) * kind(2 * KINDS), classes[stream]
+            is_train = np.repeat(train, np.diff(np.append(starts, len(stream)))) & free[stream]
+            keys.append((word + np.concatenate([[CLASSES], k[:-1]]).astype(kind))[is_train])  # texts end in an end
+            keys.append((word[:-1] + k[1:].astype(kind) + kind(KINDS))[is_train[:-1]])  # an end is not free
+        keys = np.concatenate(keys)
+        keys.sort()
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        n, keys = np.diff(np.append(begins, len(keys))), keys[begins]
+        lens = np.bincount(keys // kind(2 * KINDS), minlength=len(ids))
+        starts, codes, n = np.cumsum(lens) - lens, (keys % kind(2 * KINDS)).astype(np.uint8), n.astype(np.uint32)
+        out = {x: [] for x in ("classes", "lens", "codes", "ns")}
+        for x in state["ids"].to_pylist():
+            at = np.searchsorted(ids, np.frombuffer(x, U64))
+            take = _spans(starts[at], lens[at])
+            for name, y in (("classes", classes[at]), ("lens", lens[at].astype(np.uint32)), ("codes", codes[take]), ("ns", n[take])):
+                out[name].append(y.tobytes())
+        return pa.table({x: state[x] for x in ("part", "bucket", "ids", "counts")} | {x: pa.array(y, pa.binary()) for x, y in out.items()})
+
+    return run
+
+
+def moves(classes: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray, first: int = 0, most: int = 256) -> np.ndarray:
+    """The class of each word that most raises the likelihood, by its entries (word, code, n; sorted by word), the words with most tokens first.
+
+    Words move in batches, small ones at the start; after each the table follows. Only one word of a batch enters an empty class. Of equal classes the next after `first` wins."""
+    out, t = classes.copy(), table.astype(np.float64)
+    begins = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(begins, len(word)))
+    order = np.argsort(-np.add.reduceat(n, begins), kind="stable") if len(begins) else begins
+    turn = np.roll(np.arange(CLASSES), -(first % CLASSES))
+    at = 0
+    while at < len(order):
+        batch = order[at : at + max(1, min(most, at // 8))]
+        at += len(batch)
+        take, lens = _spans(begins[batch], sizes[batch]), sizes[batch]
+        c, x, cut = code[take].astype(np.int64), n[take].astype(np.float64), np.cumsum(lens) - lens
+        who, after = out[word[begins[batch]]].astype(np.int64), c >= KINDS
+        left, right = (np.add.reduceat(np.where(s, x, 0), cut) for s in (~after, after))
+        both, sums = np.concatenate([t, t.T]), (t.sum(0), t.sum(1))  # code x class: the class before, or KINDS + the class after
+        own, base = np.repeat(who, lens), _f(both)
+        score = np.add.reduceat(_f(both[c] + x[:, None]) - base[c], cut)
+        mine = np.add.reduceat(base[c, own] - _f(np.maximum(both[c, own] - x, 0)), cut)
+        for total, add in zip(sums, (left, right), strict=True):
+            score -= _f(total[None, :] + add[:, None]) - _f(total)[None, :]
+            mine -= _f(total[who]) - _f(np.maximum(total[who] - add, 0))
+        best = turn[np.argmax(score[:, turn], axis=1)]
+        go = (score[np.arange(len(who)), best] > mine + 1e-9) & (best != who)
+        for k in np.unique(best[go & (sums[0][best] <= 0)]):
+            go[np.flatnonzero(go & (best == k))[1:]] = False
+        out[word[begins[batch[go]]]] = best[go]
+        e = np.repeat(go, lens)
+        if e.any():
+            to = np.repeat(best, lens)
+            for where, sign in ((own[e], -1), (to[e], 1)):
+                row, col = np.where(after[e], where, c[e]), np.where(after[e], c[e] - KINDS, where)
+                np.add.at(t, (row, col), sign * x[e])
+            np.maximum(t, 0, out=t)
+    return out
+
+
+def _moved(table: np.ndarray) -> object:
+    """The rows of a hash range with the new classes; in the first row also tokens and words seen once by class, and words seen once by suffix and class."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(x, U64) for x in rows["ids"].to_pylist()]
+        get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
+        uniq, first, inverse = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+        counts, classes = get("counts", np.int64)[first], get("classes", np.uint8)[first]
+        packed = np.repeat(inverse.astype(U64) * U64(2 * KINDS) << _S, get("lens", np.uint32))
+        packed += get("codes", np.uint8).astype(U64) << _S
+        packed += get("ns", np.uint32)
+        packed.sort()
+        key = (packed >> _S).astype(np.uint32)
+        packed &= _N
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        n, key = np.add.reduceat(packed, begins).astype(np.int64) if len(key) else np.empty(0, np.int64), key[begins]
+        del packed
+        classes = moves(classes, key // np.uint32(2 * KINDS), (key % np.uint32(2 * KINDS)).astype(np.uint8), n, table, rows["part"][0].as_py())
+        stat = np.stack([np.bincount(classes, counts, KINDS), np.bincount(classes, counts == 1, KINDS)]).astype(np.int64)
+        once, many = np.unique((uniq & _MASK).astype(np.int64)[counts == 1] * KINDS + classes[counts == 1], return_counts=True)
+        cuts, rest = np.cumsum([0] + [len(x) for x in ids]), len(ids) - 1
+        return pa.table({
+            "part": rows["part"], "bucket": rows["bucket"], "ids": rows["ids"], "counts": rows["counts"],
+            "classes": pa.array([classes[inverse[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            "stat": pa.array([stat.ravel().tolist()] + [None] * rest, pa.list_(pa.int64())),
+            "once": pa.array([[{"suffix": k // KINDS, "class": k % KINDS, "n": x} for k, x in zip(once.tolist(), many.tolist(), strict=True)]] + [None] * rest, pa.list_(pa.struct([("suffix", pa.int32()), ("class", pa.int32()), ("n", pa.int64())]))),
+        })
+
+    return run
+
+
+def _total(df: DataFrame, column: str, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for k, x in df.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out[k] = x
+    return out
+
+
+def _model(core: Core, state: DataFrame, table: np.ndarray) -> ClassModel:
+    tokens, once = _total(state, "stat", 2 * KINDS).reshape(2, KINDS)
+    unseen = (once + 0.5) / (tokens + 1)
+    unseen[-1] = 0.5 / (tokens[-1] + 1)
+    trans = np.log10((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * KINDS))
+    suffixes, votes = core.classes[len(core.frequent) : -1].copy(), np.zeros((SUFFIXES, KINDS), np.int64)
+    for s, k, x in state.select(F.inline("once")).groupBy("suffix", "class").agg(F.sum("n")).collect():
+        votes[s, k] = x
+    voted = votes.sum(1) > 0
+    suffixes[voted] = votes[voted].argmax(1)
+    suffixes[SUFFIXES - 1] = CLASSES
+    return ClassModel(suffixes, np.log10((1 - unseen) / np.maximum(tokens, 1)), np.log10(unseen), trans, core.n, core.v)
+
+
+def _scores(core: object, model: object) -> object:
+    def run(streams: pa.Table, state: pa.Table) -> pa.Table:
         m: ClassModel = model.value
-        texts = texts_of(docs["text"].combine_chunks()) if docs.num_rows else []
-        asked = np.concatenate([np.frombuffer(x, U64) for x in answers["ids"].to_pylist()] or [np.empty(0, U64)])
-        known = np.concatenate([np.frombuffer(x, np.int64) for x in answers["counts"].to_pylist()] or [np.empty(0, np.int64)])
-        order = np.argsort(asked)
-        asked, known = asked[order], known[order]
+        ids, counts, classes = _words(state, core.value)
+        classes = np.where(counts > 0, classes, m.suffixes[(ids & _MASK).astype(np.int64)]).astype(np.int64)
+        word = np.where(counts > 0, np.log10(np.maximum(counts, 1)) + m.known[classes], m.unseen[classes])
+        base = np.log10((counts + 0.5) / (m.n + 0.5 * (m.v + 1)))
+        names, held = [], []
         out = {x: [] for x in ("n_tokens", "n_known", "base_score", "score")}
-        for _, stream, starts in _parts(texts):
-            c = known[np.searchsorted(asked, stream)]
-            k = m.of(stream)
+        for docs, train, starts, stream in _texts(streams):
+            names += docs
+            held += (~train).tolist()
+            k = classes[stream]
             before = np.concatenate([[CLASSES], k[:-1]])
-            word = np.where(c > 0, np.log10(np.maximum(c, 1)) + m.known[k], m.unseen[k])
-            base = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
-            for name, x in (("n_tokens", np.ones(len(c), np.int64)), ("n_known", (c > 0).astype(np.int64)), ("base_score", base), ("score", m.trans[before, k] + word)):
+            for name, x in (("n_tokens", np.ones(len(k), np.int64)), ("n_known", (counts[stream] > 0).astype(np.int64)), ("base_score", base[stream]), ("score", m.trans[before, k] + word[stream])):
                 out[name].append(np.add.reduceat(x, starts))
         got = {x: np.concatenate(y or [np.empty(0)]) for x, y in out.items()}
         return pa.table({
-            "doc_id": docs["doc_id"], "held_out": pa.array([not x for x in docs["train"].to_pylist()], pa.bool_()),
-            "n_tokens": pa.array(got["n_tokens"].astype(np.int64)), "n_known": pa.array(got["n_known"].astype(np.int64)), "train_tokens": pa.array([m.n] * docs.num_rows, pa.int64()),
+            "doc_id": pa.array(names, pa.int64()), "held_out": pa.array(held, pa.bool_()),
+            "n_tokens": pa.array(got["n_tokens"].astype(np.int64)), "n_known": pa.array(got["n_known"].astype(np.int64)), "train_tokens": pa.array([m.n] * len(names), pa.int64()),
             "base_score": pa.array(got["base_score"].astype(np.float64)), "score": pa.array(got["score"].astype(np.float64)),
         })
 
@@ -287,8 +461,32 @@ def score_documents(docs: DataFrame, train: str) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-size // BUCKET_BYTES))
     dealt = docs.select("doc_id", "text", F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int").alias("bucket"))
-    asked = dealt.groupBy("bucket").applyInArrow(_requests(buckets, 0), "part int, bucket int, ids binary, counts binary")
-    counts = scratch.cut(asked.groupBy("part").applyInArrow(_sums, "bucket int, ids binary, counts binary, stat array<bigint>, top array<struct<id:bigint,n:bigint>>"), "counts")
-    model = spark.sparkContext.broadcast(fit(counts, docs, train))
-    answers = counts.select("bucket", "ids", "counts")
-    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = scratch.cut(dealt.groupBy("bucket").applyInArrow(_requests(buckets), ASKED), "asked")
+    del dealt
+    scratch.release()
+    state = scratch.cut(asked.where("part is not null").select("part", "bucket", "ids", "counts").groupBy("part").applyInArrow(_sums, COUNTS), "counts")
+    streams = scratch.cut(asked.where("part is null").select("bucket", "docs", "train", "starts", "stream"), "streams").groupBy("bucket")
+    del asked
+    scratch.drop("asked")
+    fitted = fit_core(state, docs, train)
+    scratch.release()
+    core = spark.sparkContext.broadcast(fitted)
+
+    def beside(state: DataFrame, f: object, schema: str) -> DataFrame:
+        answers = state.select(*(x for x in ("part", "bucket", "ids", "counts", "classes") if x in state.columns))
+        return streams.cogroup(answers.groupBy("bucket")).applyInArrow(f, schema)
+
+    def transitions(state: DataFrame) -> np.ndarray:
+        return _total(beside(state, _transitions(core), "table array<bigint>"), "table", KINDS * KINDS).reshape(KINDS, KINDS)
+
+    table = fitted.table
+    for k in range(ROUNDS):
+        moved = beside(state, _contexts(core), CONTEXTS).groupBy("part").applyInArrow(_moved(table), MOVED)
+        state = scratch.cut(moved, f"state{k}")
+        scratch.drop("counts" if not k else f"state{k - 1}")
+        del moved
+        scratch.release()
+        table = transitions(state)
+        scratch.release()
+    model = spark.sparkContext.broadcast(_model(fitted, state, table))
+    return beside(state, _scores(core, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
