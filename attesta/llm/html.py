@@ -2,7 +2,7 @@
 
 Words score positive, tags negative; the weights are log ratios learned from labelled pages: a page labels itself where it has exactly one
 <article> or <main>. A linear scan finds the contiguous run of events with the greatest sum. Elements that never hold an article's text (scripts, menus, forms, page
-footers, and those whose class, id or role says advert, notice, sidebar or comments) give no words. The run is then widened to the one article element that it lies in, if there is one."""
+footers, and those whose class, id or role says advert, notice, sidebar or comments) give no words. The run is then widened by the one article element that it overlaps, if there is one; it is never narrowed."""
 
 from __future__ import annotations
 
@@ -154,7 +154,7 @@ def main_text(html: str, weights: dict[str, float]) -> str:
     if last < first:
         return ""
     if (span := labelled_span(found)) and span[0] <= last and first <= span[1]:
-        first, last = span
+        first, last = min(first, span[0]), max(last, span[1])
     blocks, now = [], []
     for kind, value, counts in found[first : last + 1]:
         if kind == "t":

@@ -198,6 +198,12 @@ def test_html():
     assert html.best_run([-1, 2, -1, 3, -5, 4]) == (1, 3)
 
 
+def test_html_keeps_the_run_outside_the_article():
+    page = "<html><body><main><h1>Head line of the story</h1><article><p>A teaser of only a few words.</p></article><p>The story goes on outside of that element, with many more words.</p></main></body></html>"
+    want = "Head line of the story\n\nA teaser of only a few words.\n\nThe story goes on outside of that element, with many more words."
+    assert html.main_text(page, html.DEFAULT | {"h1": -0.1, "/h1": -0.1, "article": -0.1, "/article": -0.1}) == want
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/1"), (2, "https://www.example.com/en/2"), (3, "http://x.net/es/"), (4, None), (5, "nothing"), (6, "http://b.com"), (7, "http://b.com/?q"), (8, "http://c.org/p/1?x=1#f")]
     got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
