@@ -2,7 +2,8 @@
 
 Words score positive, tags negative; the weights are log ratios learned from labelled pages: a page labels itself where it has exactly one
 <article> or <main>. A linear scan finds the contiguous run of events with the greatest sum. Elements that never hold an article's text (scripts, menus, forms, page
-footers, and those whose class, id or role says advert, notice, sidebar or comments) give no words. The run is then widened by the one article element that it overlaps, if there is one; it is never narrowed."""
+footers, and those of whose class or id a whole token, or whose role, says advert, notice, sidebar or comments) give no words, unless they hold the page's one
+article. Words of doubtful elements (hidden ones, and those with such a word only as a part of a token) score negative, but stay if the run or the article has them. The run is then widened by the one article element that it overlaps, if there is one; it is never narrowed."""
 
 from __future__ import annotations
 
@@ -28,32 +29,37 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i in
 _KNOWN = _RAW | _NOT_TEXT | _VOID | _INLINE | frozenset("html body div p ul ol li dl dt dd table tbody thead tfoot tr td th h1 h2 h3 h4 h5 h6 article main section header figure figcaption blockquote pre address center details summary".split())
 _BOILER = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar aside menu nav navbar navigation breadcrumb breadcrumbs toolbar share sharing social related recommended comment comments disqus reply replies respond footer masthead pagination pager widget".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PIECES = re.compile(r"[^a-z0-9]+")
 WORD, FLOOR, CEILING = 1.0, -6.0, -0.05
 DEFAULT = {"p": -0.1, "/p": -0.1, "br": -0.1}
 
 
-def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _NOT_TEXT or tag == "header" and not in_article:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attrs):
-        return True
+def _worth(tag: str, attrs: str, in_article: bool, holds_article: bool) -> int:
+    """1 if an element's words count, 0 if they never do, -1 if that is doubtful."""
+    if tag in _NOT_TEXT and not (tag == "form" and holds_article) or tag == "header" and not in_article and not holds_article:
+        return 0
+    if not attrs or holds_article or tag in ("html", "body", "article", "main"):
+        return 1
+    out = 1
     for m in _ATTR.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value in _ROLES:
-                return True
-        elif _BOILER & set(_PIECES.split(value)):
-            return True
-    return False
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "role":
+            if value.strip() in _ROLES:
+                return 0
+        elif name in ("class", "id"):
+            if _BOILER & set(value.split()):
+                return 0
+            if _BOILER & set(_PIECES.split(value)):
+                out = -1
+        elif name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
+            out = -1
+    return out
 
 
-def events(html: str) -> list[tuple[str, str, bool]]:
-    """(kind, value, counts): kind 't' with text, or a tag's name, '/'-led if it closes. counts is false inside elements whose text is never the article's.
+def events(html: str) -> list[tuple[str, str, int]]:
+    """(kind, value, counts): kind 't' with text, or a tag's name, '/'-led if it closes. counts is 0 inside elements whose text is never the article's, -1 inside doubtful ones, else 1.
 
     An element that is never closed hides nothing but itself."""
     found, at, n = [], 0, len(html)
@@ -88,14 +94,19 @@ def events(html: str) -> list[tuple[str, str, bool]]:
                 closing[stack.pop()] = k
         else:
             open_.setdefault(kind, []).append(k)
-    out, hidden, article = [], -1, -1
+    span = labelled_span(found) or (-1, -1)
+    out, hidden, doubtful, article = [], -1, -1, -1
     for k, (kind, value, attrs) in enumerate(found):
         if kind != "t" and kind[0] != "/":
             if kind in ("article", "main"):
                 article = max(article, closing.get(k, -1))
-            if k > hidden and k in closing and (kind in ("head", "title") or _boiler(kind, attrs, k < article)):
-                hidden = closing[k]
-        out.append((kind, value, k > hidden))
+            if k > hidden and k in closing:
+                worth = 0 if kind in ("head", "title") else _worth(kind, attrs, k < article, k < span[0] < closing[k])
+                if worth == 0:
+                    hidden = closing[k]
+                elif worth < 0:
+                    doubtful = max(doubtful, closing[k])
+        out.append((kind, value, 0 if k <= hidden else -1 if k <= doubtful else 1))
     return out
 
 
@@ -103,7 +114,7 @@ def _key(kind: str) -> str:
     return kind if kind.lstrip("/") in _KNOWN else "other"
 
 
-def labelled_span(found: list[tuple[str, str, bool]]) -> tuple[int, int] | None:
+def labelled_span(found: list[tuple]) -> tuple[int, int] | None:
     """From the opening to the closing tag of the one article (or main) element, if there is exactly one."""
     for name in ("article", "main"):
         a, b = [k for k, e in enumerate(found) if e[0] == name], [k for k, e in enumerate(found) if e[0] == f"/{name}"]
@@ -149,7 +160,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(html: str, weights: dict[str, float]) -> str:
     found = events(html)
     other = weights.get("other", -2.0)
-    scores = [(WORD * len(v.split()) if c else 0.0) if k == "t" else weights.get(_key(k), other) for k, v, c in found]
+    scores = [WORD * c * len(v.split()) if k == "t" else weights.get(_key(k), other) for k, v, c in found]
     first, last = best_run(scores)
     if last < first:
         return ""

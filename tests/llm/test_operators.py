@@ -204,6 +204,21 @@ def test_html_keeps_the_run_outside_the_article():
     assert html.main_text(page, html.DEFAULT | {"h1": -0.1, "/h1": -0.1, "article": -0.1, "/article": -0.1}) == want
 
 
+def test_html_loose_names_hide_no_article():
+    weights = html.DEFAULT | {x: -0.1 for x in ("div", "/div", "article", "/article", "body", "/body", "html", "/html", "form", "/form")}
+    story = "<p>The story has enough words to be the text of this page.</p>"
+    want = "The story has enough words to be the text of this page."
+    for attrs in ('class="content has-sidebar"', "class=no-comments", "class='share-enabled ad-free'", 'class="overflow-hidden"', 'style="overflow:hidden"', 'class="sidebar"', 'data-x="hidden"', "hidden"):
+        assert html.main_text(f"<html><body><div {attrs}><article>{story}</article></div></body></html>", weights) == want
+    assert html.main_text(f"<html><body><form action=/><article>{story}</article></form></body></html>", weights) == want
+    for attrs in ('class="overflow-hidden"', 'style="overflow:hidden"', "data-class='ad'"):  # no article
+        assert html.main_text(f"<html><body><div {attrs}>{story}</div></body></html>", weights) == want
+    inside = '<div class="ad-free">Five words of this story.</div>'
+    assert html.main_text(f"<html><body><article>{inside}{story}</article></body></html>", weights) == f"Five words of this story.\n\n{want}"
+    for attrs in ('class="box ad"', "id=comments", "role=navigation", 'class="newsletter-box"', "hidden", 'style="display: none"'):
+        assert html.main_text(f"<html><body><div {attrs}><p>Buy now</p></div><article>{story}</article></body></html>", weights) == want
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/1"), (2, "https://www.example.com/en/2"), (3, "http://x.net/es/"), (4, None), (5, "nothing"), (6, "http://b.com"), (7, "http://b.com/?q"), (8, "http://c.org/p/1?x=1#f")]
     got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
