@@ -1,11 +1,13 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Items are partitioned by the number of their shingles into classes (m/2, m]. For a class, a document is covered by windows of 2m shingles at
-every m, so that a passage of m shingles lies whole in one of them and its Jaccard similarity with the window is far from zero however long the
-document is. Windows of a class are unions of windows of the class below, so signatures are made once for the smallest blocks and doubled up by
-minima. A window whose signature agrees with an item's in one of HASHES places makes the pair a candidate; with similarity s a pair is
-missed with probability (1 - s) ** HASHES: at the least similarity that 0.8 containment allows (about 0.19) below 2e-6. Candidates are verified
-by exact containment of the item's distinct shingles in the whole document.
+Items are partitioned by the number of their shingles into classes (m/2, m], the first of which is all up to SMALLEST. For a class, a document is covered by
+windows of 2m shingles at every m, so that a passage of m shingles lies whole in one of them and its Jaccard similarity with the window is far from zero however long
+the document is. Windows of a class are unions of windows of the class below, so signatures are made once for the smallest blocks and doubled up by
+minima. A window whose signature agrees with an item's in one of HASHES places makes the pair a candidate; with similarity s a pair whose shared shingles lie in one window is
+missed with probability (1 - s) ** HASHES: at the least similarity that 0.8 containment allows (about 0.19) below 2e-6.
+
+That bound needs more than EXACT_MOST shingles, all different. Other items are looked up exactly by shingle hash: a document with 0.8 of an item's shingles
+has one of any that are one more than it may lack. Candidates are verified by exact containment of the item's distinct shingles in the whole document.
 
 Documents are not shuffled. Items are the query set: they are collected in blocks of at most ITEM_BLOCK, one pass for each block."""
 
@@ -23,12 +25,14 @@ from attesta.llm.words import U64, WordHash, lower_ascii, rolling
 
 SHINGLE, MIN_CONTAINMENT = 5, (8, 10)
 HASHES, SMALLEST = 64, 16
+#: Items of up to so many distinct shingles are looked up exactly.
+EXACT_MOST = 8
 ITEM_BLOCK = 20_000
 DOCS_AT_ONCE = 128
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared_shingles long"
 #: Shingle hashes are mixed already; an odd factor permutes them, and each factor orders them anew.
 _MULT = (np.random.default_rng(12).integers(1, 1 << 62, HASHES, dtype=np.uint64) << U64(1)) | U64(1)
-_TABLE_BITS = 16
+_TABLE_BITS, _EXACT_BITS = 16, 20
 
 
 def _shingles(words: list[bytes], width: int) -> list[bytes]:
@@ -48,7 +52,7 @@ class Items:
         self.sets: list[tuple[int, frozenset[bytes], int]] = []
         classes: dict[int, list[int]] = {}
         self.short: dict[int, dict[bytes, list[int]]] = {}
-        signs, hasher = {}, WordHash(100_000)
+        signs, hasher, exact = {}, WordHash(100_000), []
         for item_id, text in rows:
             words = lower_ascii(text).split()
             w, k = min(width, len(words)), len(self.sets)
@@ -58,9 +62,20 @@ class Items:
             self.sets.append((item_id, shingles, w))
             if w < width:  # one shingle of all the words: found by equality
                 self.short.setdefault(w, {}).setdefault(next(iter(shingles)), []).append(k)
+                continue
+            hashes = rolling(hasher.of(words), width)
+            own = np.unique(hashes)
+            if len(own) <= EXACT_MOST or len(own) < len(hashes):
+                num, den = MIN_CONTAINMENT
+                exact.append((own[: len(own) + 1 + -len(own) * num // den], k))  # -(-n * num // den) are needed
             else:
-                signs[k] = _values(rolling(hasher.of(words), width)).min(axis=1)
+                signs[k] = _values(hashes).min(axis=1)
                 classes.setdefault((-(-(len(words) - w + 1) // SMALLEST) - 1).bit_length(), []).append(k)
+        keys = np.concatenate([x for x, _ in exact] or [np.empty(0, U64)])
+        order = np.argsort(keys, kind="stable")
+        self.exact, self.exact_items = keys[order], np.repeat([k for _, k in exact], [len(x) for x, _ in exact]).astype(np.int64)[order]
+        self.exact_table = np.zeros(1 << _EXACT_BITS, bool)
+        self.exact_table[(keys >> U64(64 - _EXACT_BITS)).astype(np.int64)] = True
         self.levels: dict[int, tuple[list[np.ndarray], list[np.ndarray], np.ndarray]] = {}
         for level, members in classes.items():
             sign = np.stack([signs[k] for k in members])
@@ -71,16 +86,23 @@ class Items:
             self.levels[level] = ([sign[order[:, h], h] for h in range(HASHES)], [np.array(members)[order[:, h]] for h in range(HASHES)], table)
 
     def candidates(self, cut: list[list[bytes]], hasher: WordHash) -> list[set[int]]:
-        """For each document's words, numbers of items that share a signature value with a window of it.
+        """For each document's words, numbers of items that share a signature value with a window of it, or a looked-up shingle with it.
 
         Documents stand one after another, each from a block's start; a window that reaches into the next document proposes for both."""
         found: list[set[int]] = [set() for _ in cut]
         picked = [k for k, words in enumerate(cut) if len(words) >= self.width]
-        if not picked or not self.levels:
+        if not picked or not (self.levels or len(self.exact)):
             return found
         sizes = np.array([len(cut[k]) for k in picked])
         ends = np.cumsum(sizes)
         whole = rolling(np.concatenate([hasher.of(cut[k]) for k in picked]), self.width)
+        if len(self.exact):
+            at = np.flatnonzero(self.exact_table[(whole >> U64(64 - _EXACT_BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(self.exact, whole[at], "left"), np.searchsorted(self.exact, whole[at], "right")
+            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                found[picked[int(np.searchsorted(ends, p, "right"))]].update(self.exact_items[a:b].tolist())
+        if not self.levels:
+            return found
         starts = [np.arange(a, a + n - self.width + 1, SMALLEST) for a, n in zip((ends - sizes).tolist(), sizes.tolist(), strict=True)]
         counts = [len(s) for s in starts]
         owner, starts = np.repeat(np.array(picked), counts), np.concatenate(starts)

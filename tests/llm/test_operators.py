@@ -98,6 +98,18 @@ def test_decontamination(spark, docs, texts):
     assert found == want and want
 
 
+def test_short_and_repetitive_items_are_found():
+    r = random.Random(6)
+    texts = [[f"w{r.randrange(10**9)}" for _ in range(400)] for _ in range(400)]
+    for w in texts[:100]:
+        w[200:300] = (w[200:209] * 12)[:100]  # nine different shingles
+    rows = [(k, " ".join(w[200:300] if k < 100 else w[150 : 155 + k % 4]).encode()) for k, w in enumerate(texts)]
+    found = list(decontam.Items(rows, 5).matches([" ".join(w).encode() for w in texts], decontam.WordHash()))
+    assert [[i for i, _, _ in x] for x in found] == [[k] for k in range(len(texts))]
+    less = b" ".join(x.encode() for x in [*texts[200][150:158], "other"])  # four of five shingles
+    assert [m for x in decontam.Items([(7, less)], 5).matches([" ".join(texts[200]).encode()], decontam.WordHash()) for m in x] == [(7, 5, 4)]
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
