@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,12 @@ def ranked(scored: DataFrame, by: str, score: str, ident: str, top: int, name: s
     return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= top)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, asked_of: Callable = terms, words_of: Callable = words) -> DataFrame:
     """qid, chunk_id and score of every chunk with a query term: queries(qid, text), chunks(chunk_id, text).
 
-    Statistics are over all chunks, not over those a filter leaves. Postings are pre-aggregated by chunk and term; only terms of queries are joined. Null texts have no terms."""
-    asked = queries.select("qid", F.explode(terms(F.col("text"))).alias("term"))
-    tokens = chunks.select("chunk_id", words(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
+    Statistics are over all chunks, not over those a filter leaves. Postings are pre-aggregated by chunk and term; only terms of queries are joined. Null texts have no terms. asked_of and words_of cut queries and chunks: text.query_terms and text.index_words do it as the reference's index does, the defaults as the SQL of the queries."""
+    asked = queries.select("qid", F.explode(asked_of(F.col("text"))).alias("term"))
+    tokens = chunks.select("chunk_id", words_of(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     wanted = asked.select("term").distinct()
