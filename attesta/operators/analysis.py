@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import chunks as C
@@ -56,15 +56,23 @@ def candidate_windows(sources: DataFrame) -> DataFrame:
     return parts.select("*", F.posexplode(T.windows(F.col("_parts"))).alias("win_ord", "window")).drop("_pieces", "_parts")
 
 
-def score(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable, verify: bool = True) -> DataFrame:
-    """M3, M4: the selected windows of every claim with similarity, probabilities after the verifier's shift, and blocks. claims(claim_id, claim); sources(claim_id, source_ord, domain, title, text, origin, published, ref_period, grp)."""
+def compared(claims: DataFrame, sources: DataFrame, embed: Callable) -> DataFrame:
+    """Every candidate window of every claim with its similarity."""
 
     def near(windows: list, texts: list) -> list[float]:
         return [float(sum(x * y for x, y in zip(a, b, strict=True))) for a, b in zip(embed(windows), embed(texts), strict=True)]
 
     rows = candidate_windows(sources).join(claims.select("claim_id", "claim"), "claim_id")
-    rows = textual.with_result(rows, "similarity", "double", near, F.col("window"), F.col("claim"), batched=True)
-    top = textual.with_years(verdict.select_windows(rows))
+    return textual.with_result(rows, "similarity", "double", near, F.col("window"), F.col("claim"), batched=True)
+
+
+def score(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable, verify: bool = True) -> DataFrame:
+    """M3: the selected windows of every claim with similarity, probabilities after the verifier's shift, and blocks. claims(claim_id, claim); sources(claim_id, source_ord, domain, title, text, origin, published, ref_period, grp)."""
+    return _judged(verdict.select_windows(compared(claims, sources, embed)), nli, verify)
+
+
+def _judged(selected: DataFrame, nli: Callable, verify: bool) -> DataFrame:
+    top = textual.with_years(selected)
     probs = textual.with_result(top, "p", "struct<e:double,n:double,c:double>", lambda w, c: [dict(zip("enc", map(float, x), strict=True)) for x in nli(list(zip(w, c, strict=True)))], F.col("premise"), F.col("claim"), batched=True)
     if not verify:
         return probs.select("*", F.col("p.e").alias("p_ent"), F.col("p.n").alias("p_neu"), F.col("p.c").alias("p_con")).drop("p")
@@ -75,6 +83,20 @@ def score(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable,
     return held.withColumn("q", shifted).select("*", "q.*").drop("q", "p", "_stored", "document")
 
 
+def trace(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable, verify: bool = True) -> DataFrame:
+    """M4: every candidate window of every claim, also those that are not selected, with parts (1 or 2 sentences or pieces), similarity, to_nli (was it selected), probabilities (null if it was not) and in_report (does consolidation keep it).
+
+    Windows of one text in a source are told apart by win_ord; selection prefers the first. Takes what score takes."""
+    key = ["claim_id", "source_ord", "win_ord"]
+    rows = compared(claims, sources, embed)
+    judged = _judged(verdict.select_windows(rows), nli, verify).select(*key, F.lit(True).alias("to_nli"), "p_ent", "p_neu", "p_con")
+    kept = verdict.consolidate(judged).select(*key, F.lit(True).alias("in_report"))
+    size = F.count("*").over(Window.partitionBy("claim_id", "source_ord"))  # n single windows and n - 1 pairs
+    rows = rows.withColumn("parts", F.when(2 * F.col("win_ord") <= size, 1).otherwise(2))
+    no = {"to_nli": False, "in_report": False}
+    return rows.select(*key, "grp", "window", "parts", "similarity").join(judged, key, "left").join(kept, key, "left").fillna(no)
+
+
 def analyze(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable, verify: bool = True) -> DataFrame:
     """O1: claim_id, verdict and independent_sources of every claim; claims without sources have not enough evidence."""
     items = verdict.consolidate(score(claims, independence_groups(sources), embed, nli, verify))

@@ -1,4 +1,4 @@
-"""The report on a claim (A3, A17, A18, O2 to O7) as column expressions."""
+"""The report on a claim (A3, A17, A18, O3 to O5) as column expressions."""
 
 from __future__ import annotations
 

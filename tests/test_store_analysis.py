@@ -58,3 +58,17 @@ def test_analysis(spark):
     assert got == {1: ("SUPPORTED", 2), 2: ("NOT_ENOUGH_EVIDENCE", 0), 3: ("NOT_ENOUGH_EVIDENCE", 0), 4: ("CONFLICTING_EVIDENCE", 2)}
     loose = {r["claim_id"]: r["verdict"] for r in analysis.analyze(claims, sources, embed, nli, verify=False).collect()}
     assert loose[2] == "SUPPORTED"
+
+
+def test_trace_has_every_window(spark):
+    embed, nli = models()
+    claims = spark.createDataFrame([(1, "A conta da Bahia cresceu 6,5% em 2025.")], "claim_id long, claim string")
+    texts = " ".join(f"A conta número {k} da Bahia cresceu 6,5% em 2025, disse o governo." for k in range(5))
+    rows = [(1, k, f"{'abcdefgh'[k]}.org", "T", texts if k == 0 else texts[:60] + f" {k}.", "busca_web", None, None, f"g{k}") for k in range(8)]
+    sources = spark.createDataFrame(rows, "claim_id long, source_ord long, domain string, title string, text string, origin string, published string, ref_period string, grp string")
+    got = analysis.trace(claims, sources, embed, nli).collect()
+    assert len(got) == analysis.candidate_windows(sources).count() == 9 + 7  # score alone has 3 of a source and 6 sources
+    assert sum(r["to_nli"] for r in got) == analysis.score(claims, sources, embed, nli).count() == 3 + 5
+    assert all((r["p_ent"] is not None) == r["to_nli"] and r["similarity"] == 1.0 and (r["to_nli"] or not r["in_report"]) for r in got)
+    assert [r["parts"] for r in sorted(got, key=lambda r: r["win_ord"]) if r["source_ord"] == 0] == [1] * 5 + [2] * 4
+    assert {r["source_ord"] for r in got if r["in_report"]} == set(range(6))
