@@ -1,6 +1,7 @@
 """URL filter: explicit host and path rules, and gradient-boosted trees on lexical features for the rest (DataFrame functions and JVM trees only).
 
-The labelled URLs are those that a rule decides; the trees are fitted on a bounded sample of them and judge every URL without a rule."""
+The labelled URLs are those that a rule decides; the label rates of suffixes, domains and folders come from all of them. The trees are fitted on a bounded sample of
+different ones and judge every URL without a rule."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from attesta.llm.base import Scratch
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Labelled URLs to fit on, those with the least hashes; the bound of what one task and the driver see.
+#: Different labelled URLs to fit the trees on, those with the least hashes; the bound of what one task and the driver see.
 SAMPLE_ROWS = 8_000
 TREES, DEPTH = 12, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,25 +62,25 @@ def lexical(df: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """Trees and suffix statistics fitted on at most `sample_rows` labelled URLs; with one class of label or none there is no tree, and that class (or allow) is the verdict."""
+    """Suffix statistics of all labelled rows, and trees fitted on at most `sample_rows` different labelled URLs; with one class of label or none there is no tree, and that class (or allow) is the verdict."""
 
     def __init__(self, scratch: Scratch, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
         order = [F.xxhash64("url"), F.col("url")]
-        sample = labelled.select("url", "host", "path", "blocked").orderBy(*order).limit(sample_rows)
+        sample = labelled.select("url", "host", "path", "blocked").distinct().orderBy(*order).limit(sample_rows)
         sample = scratch.cut(lexical(sample), "sample")
         seen = {r["blocked"] for r in sample.select("blocked").distinct().collect()}
         self.only = None if len(seen) == 2 else ("block" if 1.0 in seen else "allow")
         self.trees: GBTClassificationModel | None = None
         if self.only:
             return
-        # Each table has at most sample_rows rows.
-        self.mean = sample.agg(F.avg("blocked")).first()[0]
-        self.rates = {k: scratch.cut(sample.groupBy(f"_{k}").agg(((F.sum("blocked") + 4 * self.mean) / (F.count("*") + 4)).alias(f"{k}_rate")), k) for k in ("suffix", "domain", "folder")}
+        self.mean = labelled.agg(F.avg("blocked")).first()[0]
+        keyed = lexical(labelled)
+        self.rates = {k: scratch.cut(keyed.groupBy(f"_{k}").agg(((F.sum("blocked") + 4 * self.mean) / (F.count("*") + 4)).alias(f"{k}_rate")), k) for k in ("suffix", "domain", "folder")}
         self.trees = GBTClassifier(labelCol="blocked", featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1).fit(self.vectors(sample).select("blocked", "_x").coalesce(1))
 
     def vectors(self, df: DataFrame) -> DataFrame:
         for k, rates in self.rates.items():
-            df = df.join(F.broadcast(rates), f"_{k}", "left").fillna({f"{k}_rate": self.mean})
+            df = df.join(rates, f"_{k}", "left").fillna({f"{k}_rate": self.mean})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(df)
 
     def verdicts(self, df: DataFrame) -> DataFrame:

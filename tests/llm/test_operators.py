@@ -237,3 +237,14 @@ def test_urls(spark):
     assert [got[k]["rule"] for k in range(1, 9)] == ["example.com/en/", "www.example.com/en/", "net/es/", None, None, None, "com/", None]
     assert (got[8]["host"], got[8]["path"], got[4]["host"], got[6]["path"]) == ("c.org", "/p/1", "", "")
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
+
+
+def test_url_rates_are_of_all_rows(spark):
+    from attesta.llm.base import Scratch
+
+    rows = [("http://a.org/x/0", "a.org", "/x/0", 1.0)] * 60 + [(f"http://{h}.org/{h}/{k}", f"{h}.org", f"/{h}/{k}", float(h in "bd")) for h in "bcde" for k in range(10)]
+    labelled = spark.createDataFrame(rows, "url string, host string, path string, blocked double")
+    model = urls.UrlModel(Scratch(spark, "t"), labelled, sample_rows=20)
+    assert model.trees is not None
+    rate = {r["_domain"]: r["domain_rate"] for r in model.rates["domain"].collect()}
+    assert model.mean == 0.8 and rate == {"a.org": pytest.approx(63.2 / 64), **{f"{h}.org": pytest.approx((10 * (h in "bd") + 3.2) / 14) for h in "bcde"}}
