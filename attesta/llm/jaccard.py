@@ -288,8 +288,17 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs with the least doc_id of each component, with all their columns; of repeated rows one stays. Rows with a null doc_id stay."""
-    groups = near_duplicates(docs, width, num, den)
-    gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs with the least doc_id of each component, with all their columns; of rows with one doc_id and text one stays. Rows with a null doc_id stay.
+
+    Where rows of one doc_id have different texts, each text is a document of its own, named by a 64-bit hash."""
+    known = docs.where("doc_id is not null")
+    mark = F.xxhash64("text", F.col("text").isNull())
+    if not known.groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("c")).where("c").limit(1).count():
+        groups = near_duplicates(docs, width, num, den)
+        gone = groups.where("doc_id != component_id").select("doc_id").distinct()
+        known = known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+        return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    named = known.withColumn("_row", F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    groups = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    least = groups.join(named.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_least")).select(F.col("_least._row").alias("_row"))
+    return named.join(least, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -248,3 +248,10 @@ def test_url_rates_are_of_all_rows(spark):
     assert model.trees is not None
     rate = {r["_domain"]: r["domain_rate"] for r in model.rates["domain"].collect()}
     assert model.mean == 0.8 and rate == {"a.org": pytest.approx(63.2 / 64), **{f"{h}.org": pytest.approx((10 * (h in "bd") + 3.2) / 14) for h in "bcde"}}
+
+
+def test_texts_of_one_id_are_kept_apart(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, one), (7, one), (7, two), (7, two), (8, two), (9, three), (None, one)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(3, one), (7, two), (9, three), (0, one)])
