@@ -2,92 +2,60 @@
 
 from __future__ import annotations
 
-import gc
-import io
-import tempfile
-import time
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.sources.store import checkpoint_dir, ship, table  # noqa: F401
+
 #: Space and \t to \r: what separates words in every contract of this package.
 SPACES = " \t\n\x0b\f\r"
 #: Rows in one Arrow batch; documents may be long, so Spark's default of 10,000 is too many.
 BATCH_ROWS = 1000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once for each context, as a zip file in the shared folder."""
-    context = spark.sparkContext
-    if getattr(context, "_attesta_shipped", False):
-        return
-    top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, path.relative_to(top.parent))
-    where = f"{shared_dir(spark).rstrip('/')}/code-{uuid.uuid4().hex}/attesta.zip"
-    path = context._jvm.org.apache.hadoop.fs.Path(where)
-    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
-    out.write(packed.getvalue())
-    out.close()
-    context.addPyFile(where)
-    context._attesta_shipped = True
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
     """Before Python runs on executors: sends them the code, and bounds a worker's memory by the rows that it holds at once."""
-    _ship(spark)
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from the session; a temporary one only where it is unset and all runs in one JVM."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="attesta-")
-        context.setCheckpointDir(found)
-        found = context.getCheckpointDir()
-    return found
-
-
 class Scratch:
     """Tables of one run in the shared folder. What cut() returns reads files, so a lost executor costs no recomputation before it."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        with shuffles_end_with_the_query(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of steps that are cut: it does so once their plans are collected as garbage."""
-        for _ in range(2):  # the first round frees plans that Python held, the second what these held
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
-
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more; without names all of the run."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within delete their shuffle files when they end; afterwards the session's own setting holds again."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def text_or_empty(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit("")))
 

@@ -259,16 +259,13 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     entries = map_arrow(docs.where("doc_id is not null").select("text"), _entries(width, buckets), ENTRIES)
     shared = scratch.cut(entries.groupBy("bucket").applyInArrow(_shared, "node long, shared long"), "shared")
     del entries
-    scratch.release()
     some = reps.join(shared.groupBy("node").agg(F.sum("shared").alias("shared")), "node").where(F.col("shared") * den >= F.col("n") * num)
     picked = scratch.cut(some.select("node", "print", "n", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("node", "print", "n", "doc_id", "text"), "picked")
     del some
     scratch.drop("shared")
-    scratch.release()
     keyed = map_arrow(picked.select("node", "print", "text"), _keys(width, num, den), "node long, key long")
     hub = F.min("node").over(Window.partitionBy("key"))
     clusters = components(scratch, keyed.select(F.col("node").alias("a"), hub.alias("b")).where("a != b"), "candidates")
-    scratch.release()
     members = scratch.cut(clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "doc_id", "print", "n"), "members")
     sizes = members.groupBy("label").agg(F.greatest(F.ceil(2 * F.count("*") / CLUSTER_SETS), F.ceil(2 * F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
     sizes = scratch.cut(sizes.withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1)), "blocks")
@@ -282,7 +279,6 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     known = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
     known = scratch.cut(known, "components")
     scratch.drop("picked")
-    scratch.release()
     out = described.select("doc_id", "n", "print").join(known, "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -63,6 +63,14 @@ def lower_ascii(text: bytes) -> bytes:
     return text.translate(LOWER_ASCII)
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-end positions of the runs of equal values; both empty if x is."""
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return starts, np.append(starts[1:], len(x))
+
+
 ENTRIES = "bucket long, keys binary, docs binary, lens binary"
 
 
