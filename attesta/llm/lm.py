@@ -18,19 +18,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
-from attesta.llm.words import U64, lower_ascii
+from attesta.llm.base import Scratch, map_arrow, shuffles_end_with_the_query, small_batches, texts_of
+from attesta.llm.words import U64, lower_ascii, runs
 
 FREQUENT, SUFFIX_BITS, SUFFIX_BYTES = 2048, 10, 3
 SUFFIXES = 1 << SUFFIX_BITS
 CLASSES, SWEEPS = 64, 6
 #: Rounds of exchange over all words outside the core.
-ROUNDS = 2
+ROUNDS = 1
 KINDS = CLASSES + 1
-BUCKET_BYTES = 24 << 20
+#: Text in a bucket of documents, and in one part of its texts.
+BUCKET_BYTES, PART_BYTES = 12 << 20, 2 << 20
+#: Tables of so many tasks are added up in one, level by level.
+TREE = 64
 _MASK = U64(SUFFIXES - 1)
 _S, _N = U64(32), U64((1 << 32) - 1)
 END_ID = (xxhash.xxh3_64_intdigest(b"\n") >> SUFFIX_BITS << SUFFIX_BITS) | (SUFFIXES - 1)  # no word holds a line end, and no word has the last suffix
@@ -40,7 +44,7 @@ class _Ids(dict):
     """Word -> id: 54 bits of xxh3 above the hash of its last bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 700_000:
+        if len(self) >= 250_000:
             self.clear()
         out = (xxhash.xxh3_64_intdigest(word) >> SUFFIX_BITS << SUFFIX_BITS) | xxhash.xxh3_64_intdigest(word[-SUFFIX_BYTES:], 7) % (SUFFIXES - 1)
         if len(word) < 64:
@@ -62,9 +66,16 @@ class _Ids(dict):
 _ids = _Ids()
 
 
-def _parts(texts: list[bytes], size: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for k in range(0, len(texts), size):
-        yield k, *_ids.stream(texts[k : k + size])
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of the first text, ids and starts of some texts at a time."""
+    k = 0
+    while k < len(texts):
+        end, held = k, 0
+        while end < len(texts) and (held == 0 or held + len(texts[end]) <= PART_BYTES):
+            held += len(texts[end]) + 1
+            end += 1
+        yield k, *_ids.stream(texts[k:end])
+        k = end
 
 
 @dataclass
@@ -174,7 +185,7 @@ def _requests(bucket_count: int) -> object:
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         texts, train = texts_of(docs["text"].combine_chunks()), np.array(docs["train"].to_pylist(), bool)
         ids, counts, kept = [], [], []
-        for k, stream, starts in _parts(texts, 2048):
+        for k, stream, starts in _parts(texts):
             is_train = np.repeat(train[k : k + len(starts)], np.diff(np.append(starts, len(stream))))
             uniq, inverse = np.unique(stream, return_inverse=True)
             ids.append(uniq)
@@ -226,23 +237,25 @@ def _pairs(frequent: np.ndarray, block: int = 64) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
         for b in batches:
-            for _, stream, _ in _parts(texts_of(b.column(0)), 4096):
+            for _, stream, _ in _parts(texts_of(b.column(0))):
                 u = units(stream, frequent)
                 u[stream == U64(END_ID)] = size - 1
                 before = np.concatenate([[size - 1], u[:-1]])
-                table += np.bincount(before * size + u, minlength=size * size)
+                cells, n = np.unique(before * size + u, return_counts=True)
+                table[cells] += n
+        task = TaskContext.get().partitionId()
         for row in range(0, size, block):
             part = table[row * size : (row + block) * size]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["row", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([task], pa.int32()), pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["row", "task", "at", "n"])
 
     def add(rows: pa.Table) -> pa.Table:
         out = np.zeros(block * size, np.int64)
         for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True):
             out[np.frombuffer(at, np.int64)] += np.frombuffer(n, np.int64)
         at = np.flatnonzero(out)
-        return pa.table({"row": pa.array([rows["row"][0].as_py()], pa.int32()), "at": pa.array([at.tobytes()], pa.binary()), "n": pa.array([out[at].tobytes()], pa.binary())})
+        return pa.table({"row": pa.array([rows["row"][0].as_py()], pa.int32()), "task": pa.array([rows["task"][0].as_py() // TREE], pa.int32()), "at": pa.array([at.tobytes()], pa.binary()), "n": pa.array([out[at].tobytes()], pa.binary())})
 
     return run, add, size
 
@@ -256,9 +269,14 @@ def fit_core(counts: DataFrame, docs: DataFrame, train: str) -> Core:
     top = [t for t in top if t[0] != END_ID]
     frequent = np.array([t[0] for t in top], U64)
     run, add, size = _pairs(frequent)
-    blocks = map_arrow(docs.where(train).select("text"), run, "row int, at binary, n binary").groupBy("row").applyInArrow(add, "row int, at binary, n binary")
+    schema, texts = "row int, task int, at binary, n binary", docs.where(train).select("text")
+    blocks, tasks = map_arrow(texts, run, schema), texts.rdd.getNumPartitions()
+    while True:
+        blocks, tasks = blocks.groupBy("row", F.floor(F.col("task") / TREE)).applyInArrow(add, schema), -(-tasks // TREE)
+        if tasks <= 1:
+            break
     pairs = np.zeros(size * size, np.int64)
-    for row, at, x in blocks.toLocalIterator():
+    for row, at, x in blocks.select("row", "at", "n").collect():  # the core's units only
         pairs[row * size + np.frombuffer(at, np.int64)] = np.frombuffer(x, np.int64)
     at = exchange(pairs.reshape(size, size))
     classes = at.copy()
@@ -333,42 +351,24 @@ def _contexts(core: object) -> object:
     return run
 
 
-def moves(classes: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray, first: int = 0, most: int = 256) -> np.ndarray:
-    """The class of each word that most raises the likelihood, by its entries (word, code, n; sorted by word), the words with most tokens first.
-
-    Words move in batches, small ones at the start; after each the table follows. Only one word of a batch enters an empty class. Of equal classes the next after `first` wins."""
-    out, t = classes.copy(), table.astype(np.float64)
-    begins = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
-    sizes = np.diff(np.append(begins, len(word)))
-    order = np.argsort(-np.add.reduceat(n, begins), kind="stable") if len(begins) else begins
-    turn = np.roll(np.arange(CLASSES), -(first % CLASSES))
-    at = 0
-    while at < len(order):
-        batch = order[at : at + max(1, min(most, at // 8))]
-        at += len(batch)
-        take, lens = _spans(begins[batch], sizes[batch]), sizes[batch]
-        c, x, cut = code[take].astype(np.int64), n[take].astype(np.float64), np.cumsum(lens) - lens
-        who, after = out[word[begins[batch]]].astype(np.int64), c >= KINDS
-        left, right = (np.add.reduceat(np.where(s, x, 0), cut) for s in (~after, after))
-        both, sums = np.concatenate([t, t.T]), (t.sum(0), t.sum(1))  # code x class: the class before, or KINDS + the class after
-        own, base = np.repeat(who, lens), _f(both)
-        score = np.add.reduceat(_f(both[c] + x[:, None]) - base[c], cut)
-        mine = np.add.reduceat(base[c, own] - _f(np.maximum(both[c, own] - x, 0)), cut)
-        for total, add in zip(sums, (left, right), strict=True):
-            score -= _f(total[None, :] + add[:, None]) - _f(total)[None, :]
-            mine -= _f(total[who]) - _f(np.maximum(total[who] - add, 0))
-        best = turn[np.argmax(score[:, turn], axis=1)]
-        go = (score[np.arange(len(who)), best] > mine + 1e-9) & (best != who)
-        for k in np.unique(best[go & (sums[0][best] <= 0)]):
-            go[np.flatnonzero(go & (best == k))[1:]] = False
-        out[word[begins[batch[go]]]] = best[go]
-        e = np.repeat(go, lens)
-        if e.any():
-            to = np.repeat(best, lens)
-            for where, sign in ((own[e], -1), (to[e], 1)):
-                row, col = np.where(after[e], where, c[e]), np.where(after[e], c[e] - KINDS, where)
-                np.add.at(t, (row, col), sign * x[e])
-            np.maximum(t, 0, out=t)
+def assign(classes: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray, at_once: int = 1 << 18) -> np.ndarray:
+    """The class that makes a word's own neighbours likeliest, for each word with entries (word, code, n; sorted by word); the others keep theirs.
+
+    The log-likelihood of class k is the sum of n log(P(k | class before) / P(k)) and n log P(class after | k), all from `table` with a half added to each cell, so a word's class depends on its own counts and the table alone: not on the other words of its hash range,
+    nor on their order. The least of equal classes wins."""
+    t = table[:, :CLASSES].astype(np.float64) + 0.5
+    before = np.log(t / t.sum(1, keepdims=True)) - np.log(t.sum(0) / t.sum())
+    t = table[:CLASSES].astype(np.float64) + 0.5
+    weights = np.concatenate([before, np.log(t / t.sum(1, keepdims=True)).T])
+    out = classes.copy()
+    begins, ends = runs(word)
+    k = 0
+    while k < len(begins):
+        stop = max(k + 1, int(np.searchsorted(begins, begins[k] + at_once)))
+        a, b = begins[k], ends[stop - 1]
+        score = np.add.reduceat(weights[code[a:b]] * n[a:b, None], begins[k:stop] - a)
+        out[word[begins[k:stop]]] = np.argmax(score, axis=1)
+        k = stop
     return out
 
 
@@ -389,7 +389,7 @@ def _moved(table: np.ndarray) -> object:
         begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         n, key = np.add.reduceat(packed, begins).astype(np.int64) if len(key) else np.empty(0, np.int64), key[begins]
         del packed
-        classes = moves(classes, key // np.uint32(2 * KINDS), (key % np.uint32(2 * KINDS)).astype(np.uint8), n, table, rows["part"][0].as_py())
+        classes = assign(classes, key // np.uint32(2 * KINDS), (key % np.uint32(2 * KINDS)).astype(np.uint8), n, table)
         stat = np.stack([np.bincount(classes, counts, KINDS), np.bincount(classes, counts == 1, KINDS)]).astype(np.int64)
         once, many = np.unique((uniq & _MASK).astype(np.int64)[counts == 1] * KINDS + classes[counts == 1], return_counts=True)
         cuts, rest = np.cumsum([0] + [len(x) for x in ids]), len(ids) - 1
@@ -450,10 +450,33 @@ def _scores(core: object, model: object) -> object:
     return run
 
 
-def score_documents(docs: DataFrame, train: str) -> DataFrame:
+def score_documents(docs: DataFrame, train: str, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs(doc_id, text).
 
     train: the SQL condition of rows that are learned from. Null and empty texts are one end token. Repeated rows count and are scored each. Other columns are ignored. Without training rows every count is 0 and scores are the smoothing's. No rows in, no rows out."""
+    return fit(docs, train, rounds).scores()
+
+
+@dataclass
+class Fitted:
+    """streams: the texts of each bucket as numbers of its words; state: the words' counts and classes, as each bucket has asked for them."""
+
+    streams: DataFrame
+    state: DataFrame
+    core: object
+    model: ClassModel
+
+    def scores(self) -> DataFrame:
+        model = self.state.sparkSession.sparkContext.broadcast(self.model)
+        return _beside(self.streams, self.state, _scores(self.core, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _beside(streams: DataFrame, state: DataFrame, f: object, schema: str) -> DataFrame:
+    answers = state.select(*(x for x in ("part", "bucket", "ids", "counts", "classes") if x in state.columns))
+    return streams.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(f, schema)
+
+
+def fit(docs: DataFrame, train: str, rounds: int = ROUNDS) -> Fitted:
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "lm")
@@ -462,27 +485,14 @@ def score_documents(docs: DataFrame, train: str) -> DataFrame:
     buckets = max(12, -(-size // BUCKET_BYTES))
     dealt = docs.select("doc_id", "text", F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int").alias("bucket"))
     asked = scratch.cut(dealt.groupBy("bucket").applyInArrow(_requests(buckets), ASKED), "asked")
-    del dealt
     state = scratch.cut(asked.where("part is not null").select("part", "bucket", "ids", "counts").groupBy("part").applyInArrow(_sums, COUNTS), "counts")
-    streams = scratch.cut(asked.where("part is null").select("bucket", "docs", "train", "starts", "stream"), "streams").groupBy("bucket")
-    del asked
-    scratch.drop("asked")
-    fitted = fit_core(state, docs, train)
-    core = spark.sparkContext.broadcast(fitted)
-
-    def beside(state: DataFrame, f: object, schema: str) -> DataFrame:
-        answers = state.select(*(x for x in ("part", "bucket", "ids", "counts", "classes") if x in state.columns))
-        return streams.cogroup(answers.groupBy("bucket")).applyInArrow(f, schema)
-
-    def transitions(state: DataFrame) -> np.ndarray:
-        return _total(beside(state, _transitions(core), "table array<bigint>"), "table", KINDS * KINDS).reshape(KINDS, KINDS)
-
-    table = fitted.table
-    for k in range(ROUNDS):
-        moved = beside(state, _contexts(core), CONTEXTS).groupBy("part").applyInArrow(_moved(table), MOVED)
-        state = scratch.cut(moved, f"state{k}")
+    streams = asked.where("part is null").select("bucket", "docs", "train", "starts", "stream")
+    with shuffles_end_with_the_query(spark):
+        fitted = fit_core(state, docs, train)
+    core, table = spark.sparkContext.broadcast(fitted), fitted.table
+    for k in range(rounds):
+        state = scratch.cut(_beside(streams, state, _contexts(core), CONTEXTS).groupBy("part").applyInArrow(_moved(table), MOVED), f"state{k}")
         scratch.drop("counts" if not k else f"state{k - 1}")
-        del moved
-            table = transitions(state)
-        model = spark.sparkContext.broadcast(_model(fitted, state, table))
-    return beside(state, _scores(core, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        with shuffles_end_with_the_query(spark):
+            table = _total(_beside(streams, state, _transitions(core), "table array<bigint>"), "table", KINDS * KINDS).reshape(KINDS, KINDS)
+    return Fitted(streams, state, core, _model(fitted, state, table))
