@@ -1,10 +1,9 @@
 """Brown-style class bigram model: exchange clustering, class transitions and word emissions.
 
-Every word of the training documents is counted and gets a class of its own choice. The driver clusters a core: the frequent words (at least one
-token in FREQUENT; so there are at most FREQUENT of them at any size) and, for all other words, groups by their last letters; exchange moves one unit at a
-time to the class that most raises the likelihood of the class bigrams. From this start, ROUNDS of exchange run over all other training words, however
-many there are: each word's counts of neighbouring classes are made in Spark, and each word moves by itself to its best class, all words of a round at once.
-Only words that training never saw go by their last letters. A word's probability in its class comes from its own count, less what Good and Turing
+Every word of the training documents is counted and gets a class of its own choice. The driver clusters a core: the FREQUENT most frequent words and, for all
+other words, groups by their last letters; exchange moves one unit at a time to the class that most raises the likelihood of the class bigrams. Then all
+other training words, however many there are, leave their groups: each word's counts of neighbouring classes are made in Spark, and it goes to the class that
+makes them likeliest (ROUNDS times, by the class bigrams of the round before). Only words that training never saw go by their last letters. A word's probability in its class comes from its own count, less what Good and Turing
 leave to unseen words.
 
 Counts and classes of all words don't fit one machine, so they are not collected. Documents are dealt into buckets by id; a bucket asks for its distinct words,
@@ -122,12 +121,12 @@ def _f(x: np.ndarray) -> np.ndarray:
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of the units by exchange over the bigram counts pairs[left, right]. The last unit (the end of a text) keeps a class of its own, the last one.
 
-    Starts with the most frequent units in classes of their own and the others dealt by rank."""
+    Starts with the most frequent units in classes of their own and all others in one: classes that start as equal mixtures would give no unit a reason to move."""
     n = len(pairs)
     pairs = pairs.astype(np.float64)
     weight = pairs.sum(0) + pairs.sum(1)
     at = np.empty(n, np.int64)
-    at[np.argsort(-weight[:-1], kind="stable")] = np.arange(n - 1) % classes
+    at[np.argsort(-weight[:-1], kind="stable")] = np.minimum(np.arange(n - 1), classes - 1)
     at[-1] = classes
     k = classes + 1
     one = np.eye(k)[at]
@@ -220,9 +219,10 @@ def _sums(requests: pa.Table) -> pa.Table:
     for x in ids:
         answers.append(total[inverse[at : at + len(x)]].tobytes())
         at += len(x)
-    seen, suffix, n = total > 0, (uniq & _MASK).astype(np.int64), int(total.sum())
+    seen, suffix = total > 0, (uniq & _MASK).astype(np.int64)
     stat = np.stack([np.bincount(suffix, total, SUFFIXES), np.bincount(suffix, seen, SUFFIXES), np.bincount(suffix, total == 1, SUFFIXES)]).astype(np.int64)
-    top = np.flatnonzero((total * FREQUENT >= n) & seen)  # at most FREQUENT, and all that are frequent in the whole
+    top = np.flatnonzero(seen)
+    top = top[np.lexsort((uniq[top], -total[top]))[: FREQUENT + 1]]  # all of the whole's that are here
     rest = len(ids) - 1
     return pa.table({
         "part": requests["part"], "bucket": requests["bucket"], "ids": requests["ids"], "counts": pa.array(answers, pa.binary()),
@@ -265,9 +265,8 @@ def fit_core(counts: DataFrame, docs: DataFrame, train: str) -> Core:
     stats = counts.where("stat is not null")
     sums = np.array([r[0] for r in stats.select(F.posexplode("stat").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0] * 3 * SUFFIXES, np.int64).reshape(3, SUFFIXES)
     n, v = int(sums[0].sum()), int(sums[1].sum())
-    top = sorted((int(np.int64(r["id"]).view(np.uint64)), r["n"]) for r in stats.select(F.inline("top")).where(F.col("n") * FREQUENT >= F.lit(n)).collect())
-    top = [t for t in top if t[0] != END_ID]
-    frequent = np.array([t[0] for t in top], U64)
+    top = stats.select(F.inline("top")).where(F.col("id") != int(np.uint64(END_ID).view(np.int64))).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
+    frequent = np.sort(np.array([r["id"] for r in top], np.int64).view(U64))
     run, add, size = _pairs(frequent)
     schema, texts = "row int, task int, at binary, n binary", docs.where(train).select("text")
     blocks, tasks = map_arrow(texts, run, schema), texts.rdd.getNumPartitions()
@@ -484,9 +483,10 @@ def fit(docs: DataFrame, train: str, rounds: int = ROUNDS) -> Fitted:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, -(-size // BUCKET_BYTES))
     dealt = docs.select("doc_id", "text", F.coalesce(F.expr(train), F.lit(False)).alias("train"), F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int").alias("bucket"))
-    asked = scratch.cut(dealt.groupBy("bucket").applyInArrow(_requests(buckets), ASKED), "asked")
-    state = scratch.cut(asked.where("part is not null").select("part", "bucket", "ids", "counts").groupBy("part").applyInArrow(_sums, COUNTS), "counts")
-    streams = asked.where("part is null").select("bucket", "docs", "train", "starts", "stream")
+    asked = scratch.cut(dealt.groupBy("bucket").applyInArrow(_requests(buckets), ASKED).withColumn("kind", F.col("part").isNull().cast("int")), "asked", "kind")
+    state = scratch.cut(asked.where("kind = 0").select("part", "bucket", "ids", "counts").groupBy("part").applyInArrow(_sums, COUNTS), "counts")
+    scratch.drop("asked/kind=0")
+    streams = asked.where("kind = 1").select("bucket", "docs", "train", "starts", "stream")
     with shuffles_end_with_the_query(spark):
         fitted = fit_core(state, docs, train)
     core, table = spark.sparkContext.broadcast(fitted), fitted.table

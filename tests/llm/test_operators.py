@@ -184,7 +184,7 @@ def test_model_scores(spark, docs, texts):
 def test_rare_words_are_clustered_by_themselves(spark):
     r = random.Random(4)
     pairs = {"p": "red {} blue", "r": "cold {} warm"}
-    rows = [f.format(f"{x}{k}qzz") for x, f in pairs.items() for k in range(400) for _ in range(4)]  # each word is less than one token in 2048, and all end alike
+    rows = [f.format(f"{x}{k}qzz") for x, f in pairs.items() for k in range(1500) for _ in range(2)]  # more words than the core has, and all end alike
     r.shuffle(rows)
     docs = [(8 * k, t) for k, t in enumerate(rows)] + [(8 * k + x, f.format(f"{w}{k}qzz")) for k in range(50) for x, (f, w) in enumerate(((pairs["p"], "p"), (pairs["p"], "r"), (pairs["r"], "r"), (pairs["r"], "p")), 1)]
     score = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id % 8 = 0").collect()}
