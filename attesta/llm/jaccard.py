@@ -11,7 +11,7 @@ mostly do). Two sets of similarity t or more are found by a key that both have:
 
 The boundary is where enumerating a set's subsets costs more keys than its lists. Sets in (boundary, boundary / t] do both, so no pair across it is lost. Keys only propose: sets
 that share a key form candidate clusters (linked to one hub for each key, never all pairs), and the sets of a cluster are compared exactly, in memory,
-by a matrix product over their common shingles. Clusters above a bound are compared block against block, in tasks of bounded size."""
+by a matrix product over their common shingles. A cluster above a bound meets some of its own sets first; what these leave open is compared along keys, part against part, in tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -23,16 +23,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
 from attesta.llm.graph import components
-from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_entries, shingle_set
+from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_entries, runs, shingle_set
 
 BAND = 1.25
-#: A cluster above either is compared in blocks of half that.
+#: A cluster above either is compared in parts of half that.
 CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
+#: About so many sets of a large cluster meet all of it first.
+PIVOTS = 32
 BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
 _SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
@@ -128,41 +131,64 @@ def _describe(width: int) -> object:
     return run
 
 
-def _entries(width: int, buckets: int) -> object:
-    """Packed 32-bit keys of all shingles, by hash range and class."""
+def _entries(width: int, buckets: int, flush: int) -> object:
+    """Packed keys (31 bits, then 1 if the class has counted it already) of all shingles, by hash range and class.
+
+    Shingles that several classes of one flush have are counted there (rows of a group of their own, `meet` below 0: classes and their counts), and one class stands for them in the range. So a range gets
+    one entry of a shingle for each flush, however many documents share it. A class in several flushes may count a shingle twice, which costs work but loses nothing."""
     bits = max(1, (buckets - 1).bit_length())
+    low = U64(31 - bits)
+
+    def split(nodes: list[int], parts: list[np.ndarray], place: int) -> Iterator[pa.RecordBatch]:
+        names, rank = np.unique(np.array(nodes, np.int64), return_inverse=True)
+        flat = np.concatenate([p | U64(r) for p, r in zip(parts, rank.tolist(), strict=True)])  # range, key, class
+        flat.sort()
+        flat = flat[np.append(True, flat[1:] != flat[:-1])]
+        starts, ends = runs(flat >> low)
+        many = ends - starts > 1
+        of = flat & U64((1 << int(low)) - 1)
+        inside = np.repeat(many, ends - starts)
+        keys = (flat >> U64(63 - bits) << U64(63 - bits)) | (of << U64(32)) | (flat >> low & U64(0x7FFFFFFF)) << U64(1)
+        b = pack_entries(names, [np.append(keys[~inside], keys[starts[many]] | U64(1))], bits)
+        yield b.append_column("meet", b.column(0))
+        count = np.bincount(of[inside].astype(np.int64), minlength=len(names))
+        if some := np.flatnonzero(count).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([b""]), pa.array([names[some].tobytes()]), pa.array([count[some].astype(np.uint32).tobytes()]), pa.array([place], pa.int64())], ["bucket", "keys", "docs", "lens", "meet"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
+        hasher, place = WordHash(), -1 - (TaskContext.get().partitionId() << 24)
         nodes, parts, held = [], [], 0
         for b in batches:
             for text in texts_of(b.column(0)):
                 s = shingle_set(hasher.of(lower_ascii(text).split()), width)
                 if not len(s):
                     continue
-                parts.append((((s >> U64(32)) % U64(buckets)) << U64(63 - bits)) | (U64(len(nodes)) << U64(32)) | (s & U64(0xFFFFFFFF)))
+                parts.append((((s >> U64(32)) % U64(buckets)) << U64(63 - bits)) | (s & U64(0x7FFFFFFF)) << low)
                 nodes.append(_node(fingerprint(s)))
                 held += len(s)
-                if held >= FLUSH or len(nodes) >= 1 << (31 - bits):
-                    yield pack_entries(nodes, parts, bits)
-                    nodes, parts, held = [], [], 0
+                if held >= flush or len(nodes) >= 1 << int(low):
+                    yield from split(nodes, parts, place)
+                    nodes, parts, held, place = [], [], 0, place - 1
         if nodes:
-            yield pack_entries(nodes, parts, bits)
+            yield from split(nodes, parts, place)
 
     return run
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """For each class, how many of its keys in this range another class has."""
+    """For each class, how many of its keys in this range another class has and it has not counted yet; or what a flush counted."""
     read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
+    if rows["meet"][0].as_py() < 0:
+        return pa.table({"node": pa.array(read("docs", np.int64), pa.int64()), "shared": pa.array(read("lens", np.uint32).astype(np.int64), pa.int64())})
     names, rank = np.unique(read("docs", np.int64), return_inverse=True)
-    flat = (read("keys", np.uint32).astype(U64) << U64(32)) | np.repeat(rank.astype(U64), read("lens", np.uint32))
+    keys = read("keys", np.uint32).astype(U64)
+    flat = (keys >> U64(1) << U64(33)) | np.repeat(rank.astype(U64), read("lens", np.uint32)) << U64(1) | keys & U64(1)
     flat.sort()
-    flat = flat[np.append(True, flat[1:] != flat[:-1])]
-    key = flat >> U64(32)
-    differs = key[1:] != key[:-1]
-    alone = np.append(True, differs) & np.append(differs, True)
-    count = np.bincount((flat[~alone] & U64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+    starts, ends = runs(flat >> U64(33))
+    of = flat >> U64(1) & U64(0xFFFFFFFF)
+    several = np.repeat(of[starts] != of[ends - 1], ends - starts)
+    fresh = np.append(True, flat[1:] >> U64(1) != flat[:-1] >> U64(1)) & (flat & U64(1) == 0)
+    count = np.bincount(of[several & fresh].astype(np.int64), minlength=len(names))
     some = np.flatnonzero(count)
     return pa.table({"node": pa.array(names[some], pa.int64()), "shared": pa.array(count[some], pa.int64())})
 
@@ -183,6 +209,32 @@ def _keys(width: int, num: int, den: int) -> object:
     return run
 
 
+def _heads(flush: int) -> object:
+    """From rows (node, key): of the sets of one flush with the same key, links to the one with the least node (key null, a, b), and for each key that one alone (key, a)."""
+
+    def split(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((nodes, keys))
+        nodes, keys = nodes[order], keys[order]
+        starts, ends = runs(keys)
+        least = np.repeat(nodes[starts], ends - starts)
+        links = np.unique(np.stack([nodes, least], 1)[nodes != least], axis=0)
+        none = [None] * len(links)
+        return pa.RecordBatch.from_arrays([pa.array(none + keys[starts].tolist(), pa.int64()), pa.array(np.concatenate([links[:, 0], nodes[starts]]), pa.int64()), pa.array(links[:, 1].tolist() + [None] * len(starts), pa.int64())], ["key", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            parts.append(b)
+            held += b.num_rows
+            if held >= flush:
+                yield split(*(np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1)))
+                parts, held = [], 0
+        if held:
+            yield split(*(np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1)))
+
+    return run
+
+
 def linked_groups(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """For each set, the least position in its component under similarity >= num / den."""
     m = len(sets)
@@ -245,7 +297,22 @@ def _compare(width: int, num: int, den: int) -> object:
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _placed(rows: DataFrame, sets: int, shingles: int) -> DataFrame:
+    """Where the sets of rows(g, doc_id, print, n, u) meet so that each set with u meets all of its group g: (g, i, j) for part i of the sets with u and part j of all. A group within the bounds is one place; parts are half of the bounds."""
+
+    def parts(c: Column, n: Column) -> Column:
+        return F.when((c <= sets) & (n <= shingles), F.lit(1)).otherwise(F.greatest(F.ceil(2 * c / sets), F.ceil(2 * n / shingles)).cast("int"))
+
+    u = F.col("u").cast("int")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.sum(u).alias("cu"), F.sum(u * F.col("n")).alias("su")).where("cu > 0")
+    sizes = sizes.withColumn("p", parts(F.col("c"), F.col("s"))).withColumn("q", F.when(F.col("p") == 1, F.lit(1)).otherwise(parts(F.col("cu"), F.col("su")))).select("g", "p", "q")
+    at = rows.join(sizes, "g").select("*", F.pmod(F.xxhash64("print"), F.col("p")).cast("int").alias("_j"), F.pmod(F.xxhash64("print"), F.col("q")).cast("int").alias("_i"))
+    all_ = at.select("g", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.col("_j").alias("j"), "doc_id", "print")
+    own = at.where("u").select("g", F.col("_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"), "doc_id", "print")
+    return all_.unionByName(own).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int, num: int, den: int, flush: int = FLUSH, cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs(doc_id, text): components of the links between sets of similarity >= num / den.
 
     Null texts and texts without words have the empty set, are linked with nothing and are their own component. Texts of fewer words than `width` are one shingle. A null doc_id has a null component and links nothing. Repeated rows are returned each. Other columns are ignored; no rows in, no rows out. Shingles are 64-bit hashes, classes 128-bit."""
@@ -256,45 +323,68 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFram
     classes = described.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("node").alias("node"))
     reps = scratch.cut(classes, "classes")
     buckets = max(12, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    entries = map_arrow(docs.where("doc_id is not null").select("text"), _entries(width, buckets), ENTRIES)
-    shared = scratch.cut(entries.groupBy("bucket").applyInArrow(_shared, "node long, shared long"), "shared")
-    del entries
+    entries = map_arrow(docs.where("doc_id is not null").select("text"), _entries(width, buckets, flush), f"{ENTRIES}, meet long")
+    shared = scratch.cut(entries.groupBy("meet").applyInArrow(_shared, "node long, shared long"), "shared")
     some = reps.join(shared.groupBy("node").agg(F.sum("shared").alias("shared")), "node").where(F.col("shared") * den >= F.col("n") * num)
     picked = scratch.cut(some.select("node", "print", "n", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("node", "print", "n", "doc_id", "text"), "picked")
-    del some
     scratch.drop("shared")
-    keyed = map_arrow(picked.select("node", "print", "text"), _keys(width, num, den), "node long, key long")
-    hub = F.min("node").over(Window.partitionBy("key"))
-    clusters = components(scratch, keyed.select(F.col("node").alias("a"), hub.alias("b")).where("a != b"), "candidates")
-    members = scratch.cut(clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "doc_id", "print", "n"), "members")
-    sizes = members.groupBy("label").agg(F.greatest(F.ceil(2 * F.count("*") / CLUSTER_SETS), F.ceil(2 * F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
-    sizes = scratch.cut(sizes.withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1)), "blocks")
-    split = sizes.where("blocks > 1").limit(1).count() > 0
-    mine = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "label").withColumn("_m", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("label", F.least("_m", "_o").alias("i"), F.greatest("_m", "_o").alias("j"), "doc_id", "print")
-    texts = placed.join(picked.select("doc_id", "print", "text"), ["doc_id", "print"]).select("label", "i", "j", "doc_id", "print", "text")
-    links = map_arrow(texts.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j"), _compare(width, num, den), "a long, b long")
-    links = components(scratch, links, "links").withColumnRenamed("node", "a").withColumnRenamed("label", "b") if split else scratch.cut(links, "links")
+    keyed = scratch.cut(map_arrow(picked.select("node", "print", "text"), _keys(width, num, den), "node long, key long"), "keyed")
+    heads = scratch.cut(map_arrow(keyed, _heads(flush), "key long, a long, b long"), "heads")
+    least = F.min("a").over(Window.partitionBy("key"))  # a key has a row for each flush
+    candidates = heads.where("key is null").select("a", "b").unionByName(heads.where("key is not null").select("a", least.alias("b")))
+    clusters = components(scratch, candidates, "candidates")
+    members = clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "node", "doc_id", "print", "n")
+    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", "c", ((F.col("c") > cluster_sets) | (F.col("s") > cluster_shingles)).alias("big"))
+    members = scratch.cut(members.join(sizes, "label"), "members")
+    texts = picked.select("doc_id", "print", "text")
+
+    def compared(placed: DataFrame, name: str) -> DataFrame:
+        rows = placed.join(texts, ["doc_id", "print"]).select("g", "i", "j", "doc_id", "print", "text")
+        return scratch.cut(map_arrow(rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j"), _compare(width, num, den), "a long, b long"), name)
+
+    links = compared(members.where("not big").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "print"), "links")
+    if members.where("big").limit(1).count():
+        links = scratch.cut(links.unionByName(_large(scratch, members.where("big"), keyed, compared, cluster_sets, cluster_shingles)), "all_links")
+        links = components(scratch, links, "linked").withColumnRenamed("node", "a").withColumnRenamed("label", "b")
     known = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
     known = scratch.cut(known, "components")
-    scratch.drop("picked")
+    scratch.drop("picked", "keyed", "heads", "members", "links")
     out = described.select("doc_id", "n", "print").join(known, "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _large(scratch: Scratch, members: DataFrame, keyed: DataFrame, compared: object, sets: int, shingles: int) -> DataFrame:
+    """The links of clusters that don't fit one comparison.
+
+    First all sets of a cluster meet some PIVOTS of it, which links most copies of one text. What is open then are pairs in different components that share a key: for each key whose sets are in several
+    components, the sets outside its largest component meet all of the key's sets. Keys with the same sets are one."""
+    pivot = F.pmod(F.xxhash64("print", F.lit(7)), F.ceil(F.col("c") / PIVOTS)) == 0
+    first = compared(_placed(members.select(F.col("label").alias("g"), "doc_id", "print", "n", pivot.alias("u")), sets, shingles), "pivot_links")
+    joined = components(scratch, first, "pivots")
+    now = scratch.cut(members.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component"), "doc_id", "left").select("node", "doc_id", "print", "n", F.coalesce("component", "doc_id").alias("component")), "after_pivots")
+    pairs = keyed.join(now, "node")
+    open_ = pairs.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("z")).where("x != y")
+    open_ = scratch.cut(open_.groupBy("k", "z", "x", "y").agg(F.min("key").alias("key")).select("key"), "open_keys")
+    group = scratch.cut(pairs.join(open_, "key").select(F.col("key").alias("g"), "doc_id", "print", "n", "component"), "open_pairs")
+    largest = group.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", "count").alias("largest"))
+    second = compared(_placed(group.join(largest, "g").select("g", "doc_id", "print", "n", (F.col("component") != F.col("largest")).alias("u")), sets, shingles), "open_links")
+    return first.unionByName(second)
+
+
 def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of docs with the least doc_id of each component, with all their columns; of rows with one doc_id and text one stays. Rows with a null doc_id stay.
 
     Where rows of one doc_id have different texts, each text is a document of its own, named by a 64-bit hash."""
-    known = docs.where("doc_id is not null")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.col("text").alias("text"))
     mark = F.xxhash64("text", F.col("text").isNull())
-    if not known.groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("c")).where("c").limit(1).count():
-        groups = near_duplicates(docs, width, num, den)
-        gone = groups.where("doc_id != component_id").select("doc_id").distinct()
-        known = known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-        return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
-    named = known.withColumn("_row", F.xxhash64("doc_id", "text", F.col("text").isNull()))
-    groups = near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    least = groups.join(named.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_least")).select(F.col("_least._row").alias("_row"))
-    return named.join(least, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    if not rows.where("id is not null").groupBy("id").agg((F.min(mark) != F.max(mark)).alias("c")).where("c").limit(1).count():
+        named = rows.withColumn("name", F.col("id"))
+        groups = near_duplicates(named.select(F.col("name").alias("doc_id"), "text"), width, num, den)
+        least = groups.where("doc_id = component_id").select(F.col("doc_id").alias("name")).distinct()
+    else:
+        named = rows.withColumn("name", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text", F.col("text").isNull())))
+        groups = near_duplicates(named.select(F.col("name").alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("name"), "component_id").distinct()
+        least = groups.join(named.where("name is not null").select("name", "id").distinct(), "name").groupBy("component_id").agg(F.min(F.struct("id", "name")).alias("least")).select(F.col("least.name").alias("name"))
+    kept = named.join(least, "name", "left_semi").dropDuplicates(["name"])
+    return kept.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")

@@ -209,6 +209,11 @@ def _requests(bucket_count: int) -> object:
     return run
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """An eighth of an octave."""
+    return (8 * np.log2(counts)).astype(np.int64)
+
+
 def _sums(requests: pa.Table) -> pa.Table:
     """Answers for each bucket; in the first row also the sums of this hash range."""
     ids = [np.frombuffer(x, U64) for x in requests["ids"].to_pylist()]
@@ -220,7 +225,7 @@ def _sums(requests: pa.Table) -> pa.Table:
         answers.append(total[inverse[at : at + len(x)]].tobytes())
         at += len(x)
     seen, suffix = total > 0, (uniq & _MASK).astype(np.int64)
-    stat = np.stack([np.bincount(suffix, total, SUFFIXES), np.bincount(suffix, seen, SUFFIXES), np.bincount(suffix, total == 1, SUFFIXES)]).astype(np.int64)
+    stat = np.stack([np.bincount(suffix, total, SUFFIXES), np.bincount(suffix, seen, SUFFIXES), np.bincount(suffix, total == 1, SUFFIXES), np.bincount(_level(total[seen]), minlength=SUFFIXES)]).astype(np.int64)
     top = np.flatnonzero(seen)
     top = top[np.lexsort((uniq[top], -total[top]))[: FREQUENT + 1]]  # all of the whole's that are here
     rest = len(ids) - 1
@@ -263,9 +268,11 @@ def _pairs(frequent: np.ndarray, block: int = 64) -> object:
 def fit_core(counts: DataFrame, docs: DataFrame, train: str) -> Core:
     """counts: what _sums gave; docs(text), of which `train` is a condition. Collects statistics of the core's units only: their number is bounded by FREQUENT and SUFFIXES."""
     stats = counts.where("stat is not null")
-    sums = np.array([r[0] for r in stats.select(F.posexplode("stat").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0] * 3 * SUFFIXES, np.int64).reshape(3, SUFFIXES)
+    sums = np.array([r[0] for r in stats.select(F.posexplode("stat").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").select("x").collect()] or [0] * 4 * SUFFIXES, np.int64).reshape(4, SUFFIXES)
     n, v = int(sums[0].sum()), int(sums[1].sum())
-    top = stats.select(F.inline("top")).where(F.col("id") != int(np.uint64(END_ID).view(np.int64))).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
+    enough = np.flatnonzero(np.cumsum(sums[3][::-1]) > FREQUENT)
+    floor = 2 ** ((SUFFIXES - 1 - int(enough[0])) / 8) * 0.999 if len(enough) else 0.0  # so few come to the driver, however many hash ranges there are
+    top = stats.select(F.inline("top")).where(F.col("n") >= floor).where(F.col("id") != int(np.uint64(END_ID).view(np.int64))).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["id"] for r in top], np.int64).view(U64))
     run, add, size = _pairs(frequent)
     schema, texts = "row int, task int, at binary, n binary", docs.where(train).select("text")

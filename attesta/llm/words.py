@@ -74,7 +74,7 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ENTRIES = "bucket long, keys binary, docs binary, lens binary"
 
 
-def pack_entries(docs: list[int], parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
+def pack_entries(docs: list[int] | np.ndarray, parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """Entries (bucket << 63 - bits | number of the document << 32 | 32-bit key) without repeats, as a row for each bucket: keys, then documents and the number of entries of each."""
     most_docs = 1 << (31 - bits)
     flat = np.concatenate(parts)
@@ -83,7 +83,7 @@ def pack_entries(docs: list[int], parts: list[np.ndarray], bits: int) -> pa.Reco
     run = flat >> _S
     starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     lens = np.diff(np.append(starts, len(flat))).astype(np.uint32)
-    ids = np.array(docs, np.int64)[(run[starts] & U64(most_docs - 1)).astype(np.int64)]
+    ids = np.asarray(docs, np.int64)[(run[starts] & U64(most_docs - 1)).astype(np.int64)]
     bucket = (run[starts] >> U64(31 - bits)).astype(np.int64)
     keys = flat.astype(np.uint32)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
