@@ -92,12 +92,15 @@ x AS (SELECT doc_id, unnest(g) AS h, generate_subscripts(g, 1) AS p FROM g WHERE
 r AS (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, h) AS c FROM x) WHERE c > 1),
 c AS (SELECT doc_id, count(DISTINCT q) AS c FROM r GROUP BY doc_id),
 f AS (SELECT doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
- (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+ (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(c, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k FROM b GROUP BY host),
-m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-p AS (SELECT m, greatest(2.0, coalesce(CASE WHEN v = 0 THEN NULL ELSE m * (1 - m) / v - 1 END, 2.0)) AS a FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (k + m * a) / (n + a) <= 0.5 AS kept FROM b JOIN h USING (host), p""",
+a AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS failed FROM b),
+h AS (SELECT host, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS k FROM a GROUP BY host),
+m AS (SELECT avg(k / n) AS m, greatest(0.0, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n)) AS v FROM h),
+p AS (SELECT m, CASE WHEN v = 0 THEN 10000.0 ELSE least(10000.0, greatest(2.0, m * (1 - m) / v - 1)) END AS w, least(0.5, m + greatest(2.0 * sqrt(v), 0.2)) AS top FROM m),
+s AS (SELECT host, (k + m * w) / (n + w) AS r, n + w + 1 AS d, top FROM h, p),
+j AS (SELECT host, r - 1.645 * sqrt(r * (1 - r) / d) <= top AS host_kept FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM a JOIN j USING (host)""",
     "op8_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
