@@ -1,7 +1,7 @@
 """URL filter: explicit host and path rules, and gradient-boosted trees on lexical features for the rest (DataFrame functions and JVM trees only).
 
-The labelled URLs are those that a rule decides; the label rates of suffixes, domains and folders come from all of them. The trees are fitted on a bounded sample of
-different ones and judge every URL without a rule."""
+The labelled URLs are those that a rule decides; the label rates of suffixes, domains and folders come from all of them. A URL that the trees are fitted on gets the rates of the other
+FOLDS - 1 folds, so that no rate holds its own label. The trees are fitted on a bounded sample of different URLs and judge every URL without a rule."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: Different labelled URLs to fit the trees on, those with the least hashes; the bound of what one task and the driver see.
 SAMPLE_ROWS = 8_000
 TREES, DEPTH = 12, 4
+#: Folds of URLs by hash; the weight of the overall rate in a key's rate.
+FOLDS, PRIOR = 5, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "depth", "host_dots", "digit_ratio", "entropy", "params", "hyphens", "other_ratio", "has_fragment", "suffix_rate", "domain_rate", "folder_rate")
 
@@ -61,27 +63,43 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(11)), F.lit(FOLDS)).cast("int")
+
+
 class UrlModel:
     """Suffix statistics of all labelled rows, and trees fitted on at most `sample_rows` different labelled URLs; with one class of label or none there is no tree, and that class (or allow) is the verdict."""
 
     def __init__(self, scratch: Scratch, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
         order = [F.xxhash64("url"), F.col("url")]
         sample = labelled.select("url", "host", "path", "blocked").distinct().orderBy(*order).limit(sample_rows)
-        sample = scratch.cut(lexical(sample), "sample")
+        sample = scratch.cut(lexical(sample).withColumn("_fold", fold_of(F.col("url"))), "sample")
         seen = {r["blocked"] for r in sample.select("blocked").distinct().collect()}
         self.only = None if len(seen) == 2 else ("block" if 1.0 in seen else "allow")
         self.trees: GBTClassificationModel | None = None
         if self.only:
             return
         self.mean = labelled.agg(F.avg("blocked")).first()[0]
-        keyed = lexical(labelled)
-        self.rates = {k: scratch.cut(keyed.groupBy(f"_{k}").agg(((F.sum("blocked") + 4 * self.mean) / (F.count("*") + 4)).alias(f"{k}_rate")), k) for k in ("suffix", "domain", "folder")}
-        self.trees = GBTClassifier(labelCol="blocked", featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1).fit(self.vectors(sample).select("blocked", "_x").coalesce(1))
+        keyed = lexical(labelled).withColumn("_fold", fold_of(F.col("url")))
+        folds = {k: scratch.cut(keyed.groupBy(f"_{k}", "_fold").agg(F.sum("blocked").alias("_b"), F.count("*").alias("_n")), f"{k}_folds") for k in ("suffix", "domain", "folder")}
+        whole = {k: x.groupBy(f"_{k}").agg(F.sum("_b").alias("_b"), F.sum("_n").alias("_n")) for k, x in folds.items()}
+        self.rates = {k: scratch.cut(x.select(f"_{k}", self._rate(F.col("_b"), F.col("_n")).alias(f"{k}_rate")), k) for k, x in whole.items()}
+        for k, x in folds.items():  # a fold's rate is that of all other rows of the key
+            others = x.join(whole[k].withColumnsRenamed({"_b": "_tb", "_n": "_tn"}), f"_{k}").select(f"_{k}", "_fold", self._rate(F.col("_tb") - F.col("_b"), F.col("_tn") - F.col("_n")).alias(f"{k}_rate"))
+            sample = sample.join(others, [f"_{k}", "_fold"])
+        self.trees = GBTClassifier(labelCol="blocked", featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1).fit(self._assembled(sample).select("blocked", "_x").coalesce(1))
+
+    def _rate(self, blocked: Column, n: Column) -> Column:
+        return (blocked + PRIOR * self.mean) / (n + PRIOR)
+
+    @staticmethod
+    def _assembled(df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(df)
 
     def vectors(self, df: DataFrame) -> DataFrame:
         for k, rates in self.rates.items():
             df = df.join(rates, f"_{k}", "left").fillna({f"{k}_rate": self.mean})
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(df)
+        return self._assembled(df)
 
     def verdicts(self, df: DataFrame) -> DataFrame:
         """Adds block_score and model_verdict to rows with url, host and path."""
@@ -92,14 +110,30 @@ class UrlModel:
         return out.select(*df.columns, score.alias("block_score"), F.when(score >= 0.5, "block").otherwise("allow").alias("model_verdict"))
 
 
+def _ruled(scratch: Scratch, pages: DataFrame, rules) -> DataFrame:
+    host, path = parts(F.col("url"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path")).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
+    return scratch.cut(rows.select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled")), "rows")
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("ruled").isNotNull()).select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("blocked"))
+
+
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and block_score (null where a rule decides) for every row of pages(page_id, url).
 
-    Null or malformed urls have empty host and path and get the trees' verdict. Repeated rows are judged alike and all returned. No rows in, no rows out."""
+    Null or malformed urls have empty host and path and get the trees' verdict. Repeated rows are judged alike and all returned. No rows in, no rows out. Other columns are ignored."""
     scratch = Scratch(pages.sparkSession, "urls")
-    host, path = parts(F.col("url"))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path")).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    rows = scratch.cut(rows.select("page_id", "url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled")), "rows")
-    labelled = rows.where(F.col("ruled").isNotNull()).select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("blocked"))
-    out = UrlModel(scratch, labelled).verdicts(rows)
+    rows = _ruled(scratch, pages, rules)
+    out = UrlModel(scratch, _labelled(rows)).verdicts(rows)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "model_verdict").alias("verdict"), F.when(F.col("ruled").isNull(), F.col("block_score")).alias("block_score"))
+
+
+def held_out(pages: DataFrame, fold: int = 0, rules=RULES) -> tuple[int, int]:
+    """How many labelled URLs of one fold there are, and for how many of them a model of the other folds gives the rule's verdict."""
+    scratch = Scratch(pages.sparkSession, "urls")
+    labelled = _labelled(_ruled(scratch, pages, rules)).distinct()
+    out = UrlModel(scratch, labelled.where(fold_of(F.col("url")) != fold)).verdicts(labelled.where(fold_of(F.col("url")) == fold))
+    n, right = out.agg(F.count("*"), F.sum(((F.col("blocked") == 1) == (F.col("model_verdict") == "block")).cast("long"))).first()
+    return n, right or 0
