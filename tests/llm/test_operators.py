@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("attesta.llm")
-from attesta.llm import decontam, html, jaccard, lm, packing, quality, rules, sharding, substring, urls  # noqa: E402
+from attesta.llm import decontam, jaccard, lm, packing, quality, rules, sharding, substring, urls  # noqa: E402
 from attesta.llm.queries import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start long, keys string, label string"
@@ -202,35 +202,6 @@ def test_quality_learns(spark):
     assert min(score[k] for k in range(60, 80) if k % 4) > max(score[k] for k in range(60, 80) if k % 4 == 0)
 
 
-def test_html():
-    page = '<html><head><title>T &amp; x</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=/>menu</a></ul></nav><div class="ad">buy now</div><article><h1>Head  line</h1><p>One <b>two</b>&nbsp;three<br>four.<aside>side</aside><p>Five &lt;six&gt; seven eight nine.</p></article><section class="comments"><p>I disagree with all of that</p></section><footer>&copy; foot</footer></body></html>'
-    weights = html.weights_from(dict(html.count_labels(page)))
-    assert html.main_text(page, weights) == "Head line\n\nOne two three four.\n\nFive <six> seven eight nine."
-    assert html.main_text("", weights) == "" and html.main_text("<p", weights) in ("", "<p")
-    assert html.best_run([-1, 2, -1, 3, -5, 4]) == (1, 3)
-
-
-def test_html_keeps_the_run_outside_the_article():
-    page = "<html><body><main><h1>Head line of the story</h1><article><p>A teaser of only a few words.</p></article><p>The story goes on outside of that element, with many more words.</p></main></body></html>"
-    want = "Head line of the story\n\nA teaser of only a few words.\n\nThe story goes on outside of that element, with many more words."
-    assert html.main_text(page, html.DEFAULT | {"h1": -0.1, "/h1": -0.1, "article": -0.1, "/article": -0.1}) == want
-
-
-def test_html_loose_names_hide_no_article():
-    weights = html.DEFAULT | {x: -0.1 for x in ("div", "/div", "article", "/article", "body", "/body", "html", "/html", "form", "/form")}
-    story = "<p>The story has enough words to be the text of this page.</p>"
-    want = "The story has enough words to be the text of this page."
-    for attrs in ('class="content has-sidebar"', "class=no-comments", "class='share-enabled ad-free'", 'class="overflow-hidden"', 'style="overflow:hidden"', 'class="sidebar"', 'data-x="hidden"', "hidden"):
-        assert html.main_text(f"<html><body><div {attrs}><article>{story}</article></div></body></html>", weights) == want
-    assert html.main_text(f"<html><body><form action=/><article>{story}</article></form></body></html>", weights) == want
-    for attrs in ('class="overflow-hidden"', 'style="overflow:hidden"', "data-class='ad'"):  # no article
-        assert html.main_text(f"<html><body><div {attrs}>{story}</div></body></html>", weights) == want
-    inside = '<div class="ad-free">Five words of this story.</div>'
-    assert html.main_text(f"<html><body><article>{inside}{story}</article></body></html>", weights) == f"Five words of this story.\n\n{want}"
-    for attrs in ('class="box ad"', "id=comments", "role=navigation", 'class="newsletter-box"', "hidden", 'style="display: none"'):
-        assert html.main_text(f"<html><body><div {attrs}><p>Buy now</p></div><article>{story}</article></body></html>", weights) == want
-
-
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/1"), (2, "https://www.example.com/en/2"), (3, "http://x.net/es/"), (4, None), (5, "nothing"), (6, "http://b.com"), (7, "http://b.com/?q"), (8, "http://c.org/p/1?x=1#f")]
     got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
