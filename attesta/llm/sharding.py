@@ -2,7 +2,9 @@
 
 Rows are ordered by (hash of the text, doc_id); rows of equal text are one atomic group, so equal texts share a shard. The smallest capacity
 for which a greedy walk over the groups needs at most `shards` shards is found by binary search, and the walk with that capacity gives the cuts.
-The walk needs only 'the last group end at or below x'. The driver holds a summary of at most BINS bins of group ends (their least and greatest
+Walking with the same capacity from the other end gives the least cuts that still suffice; each cut then goes as near to its equal share as the two walks allow, so that the
+least shard is raised and the largest stays as it is.
+A walk needs only 'the last group end at or below x'. The driver holds a summary of at most BINS bins of group ends (their least and greatest
 end); it yields bounds for each walk, and only bins that a bound leaves open are summed up again, more finely, until the walk is exact. So what
 is collected is bounded at any size of the input."""
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm.base import Scratch
 
-BINS = 1 << 15
+BINS = 1 << 13
 
 
 class _Ends:
@@ -53,16 +55,16 @@ def _search(ends: _Ends, total: int, shards: int) -> tuple[int, int]:
     return found[0], found[1]
 
 
-def minimax_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS) -> list[int]:
-    """The greatest end in each shard but the last, for groups(end) whose ends are distinct and at most `total`."""
+def minimax_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS, capacity: int | None = None) -> tuple[list[int], int]:
+    """The greatest end in each shard but the last of a walk with the least capacity (or that given), for groups(end) whose ends are distinct and at most `total`; and the capacity."""
     summed = lambda df, low, width: df.groupBy(F.floor((F.col("end") - low) / width).alias("b")).agg(F.min("end"), F.max("end"), F.count("*"))
     have = [tuple(r)[1:] for r in summed(groups, 0, max(1, -(-total // bins))).collect()]
     while True:
         ends = _Ends(have)
-        sure, maybe = _search(ends, total, shards)
+        sure, maybe = (capacity, capacity) if capacity else _search(ends, total, shards)
         low, high = ends.walk(maybe, shards), ends.walk(sure, shards)
         if sure == maybe and all(a == b for a, b in high):
-            return [a for a, _ in high[:-1]]
+            return [a for a, _ in high[:-1]], sure
         spans = [(a + 0, max(b, a)) for (a, _), (_, b) in zip(low, high, strict=True)]
         open_ = [x for x in have if x[2] > 2 and any(x[0] <= b and x[1] >= a for a, b in spans)]
         share = max(1, bins // max(1, len(open_)))
@@ -88,7 +90,20 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS) -
         have = [x for x in have if x not in closed] + got
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
+def even_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS) -> list[int]:
+    """Cuts for groups(first, end) with the least possible largest shard, each as near below its equal share as that allows."""
+    _, capacity = minimax_cuts(groups.select("end"), total, shards, bins)
+    mirrored, _ = minimax_cuts(groups.select((total - F.col("first")).alias("end")), total, shards, bins, capacity)
+    least = [total - c for c in reversed(mirrored)]  # cut k may not be less, or the rest does not fit
+    near = groups.agg(*[F.max(F.when(F.col("end") <= k * total // shards, F.col("end"))) for k in range(1, shards)]).first() if shards > 1 else ()
+    out, last = [], 0
+    for low, wish in zip(least, near, strict=True):
+        last = max(last, wish) if wish is not None and low <= wish <= last + capacity else max(last, low)
+        out.append(last)
+    return out
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 24, bins: int = BINS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of docs(doc_id, text).
 
     size: UTF-8 bytes of the text plus 8. Null and empty texts are one group of size-8 rows. Ties in doc_id keep any order but get slots of their own; repeated rows are all returned. With fewer groups than shards the last shards stay empty. No rows in, no rows out."""
@@ -101,9 +116,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
     parts = rows.groupBy("_p").agg(F.sum("size").alias("s"), F.count("*").alias("n")).select("_p", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"))
     inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     rows = scratch.cut(rows.join(F.broadcast(parts), "_p").select("doc_id", "size", "text_crc32", "h", (F.col("_s0") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"), (F.col("_n0") + F.col("_i")).alias("row")), "placed")
-    groups = scratch.cut(rows.groupBy("h").agg(F.max(F.col("start") + F.col("size")).alias("end"), (F.max("row") + 1).alias("rows")).drop("h"), "groups")
+    groups = scratch.cut(rows.groupBy("h").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("end"), (F.max("row") + 1).alias("rows")).drop("h"), "groups")
     total = groups.agg(F.max("end")).first()[0] or 0
-    cuts = minimax_cuts(groups, total, shards) if total else []
+    cuts = even_cuts(groups, total, shards, bins) if total else []
     upto = {r["end"]: r["rows"] for r in groups.where(F.col("end").isin(cuts)).collect()} if cuts else {}
     edges = [(0, 0)] + [(c, upto.get(c, 0)) for c in cuts]
     shard, first = F.lit(0), F.lit(0).cast("long")
