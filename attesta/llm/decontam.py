@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ SHINGLE, MIN_CONTAINMENT = 5, (8, 10)
 HASHES, SMALLEST = 64, 16
 #: Items of up to so many distinct shingles are looked up exactly.
 EXACT_MOST = 8
-ITEM_BLOCK = 20_000
+#: Items, and bytes of their texts, in a block; a longer item is a block of its own size.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 64 << 20
 DOCS_AT_ONCE = 128
 SCHEMA = "doc_id long, item_id long, item_shingles long, shared_shingles long"
 #: Shingle hashes are mixed already; an odd factor permutes them, and each factor orders them anew.
@@ -159,13 +161,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE, blo
     """doc_id, item_id, item_shingles and shared_shingles of every pair in which at least 0.8 of the item's distinct word shingles are in the document.
 
     A-Z is lower-cased; an item with fewer than `width` words is one shingle of them all; one without words or with null text matches nothing. Null and empty documents match nothing. Repeated rows give repeated pairs. Empty tables give no pairs. Other columns are ignored."""
-    spark = docs.sparkSession
-    rows = items.select("item_id", "text").where("text is not null")
-    blocks = -(-rows.count() // block)
     out = None
-    for k in range(max(1, blocks)):
-        part = rows if blocks <= 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        known = spark.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))])
+    for known in _blocks(items, block):
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             own, hasher = Items(known.value, width), WordHash()
@@ -179,21 +176,28 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE, blo
     return out
 
 
-def without_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, that contain no item. One pass: each task drops the rows for which the search finds an item."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, block: int) -> list[Broadcast]:
+    """The items in blocks of bounded number and size, sorted, one at least."""
     rows = items.select("item_id", "text").where("text is not null")
-    blocks = -(-rows.count() // ITEM_BLOCK)
-    for k in range(blocks):
-        part = rows if blocks <= 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        known = spark.sparkContext.broadcast([(i, t.encode()) for i, t in map(tuple, part.collect())])
-        place = docs.columns.index("text")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-size // ITEM_BYTES))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    parts = (rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) for k in range(blocks))
+    return [items.sparkSession.sparkContext.broadcast([(i, t.encode()) for i, t in sorted(map(tuple, part.collect()), key=order)]) for part in parts]
+
+
+def without_items(docs: DataFrame, items: DataFrame, width: int = SHINGLE, block: int = ITEM_BLOCK) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item. One pass for each block of items: each task drops the rows for which the search finds an item.
 
-        def run(batches: Iterator[pa.RecordBatch], known=known, place=place) -> Iterator[pa.RecordBatch]:
+    Rows with null or empty text hold no item and stay; repeated rows stay or go together; without items all stay."""
+    rows = docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    for known in _blocks(items, block):
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             own, hasher = Items(known.value, width), WordHash()
             for b in batches:
-                keep = [not found for found in own.matches(texts_of(b.column(place)), hasher)]
+                keep = [not found for found in own.matches(texts_of(b.column(0)), hasher)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        docs = map_arrow(docs, run, docs.schema)
-    return docs
+        rows = map_arrow(rows, run, rows.schema)
+    return rows.select("row.*")
