@@ -6,6 +6,7 @@ SAMPLE_ROWS labelled rows, those with the least hashes of their ids."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 from attesta.llm.base import map_arrow, texts_of
 from attesta.llm.words import U64, mix
 
-BITS, SAMPLE_ROWS, EPOCHS = 18, 6000, 4
+BITS, EPOCHS = 18, 4
+#: What the model is fitted on at most: labelled rows, and bytes of their texts (rows are taken in the order of their ids' hashes until a text doesn't fit).
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 96 << 20
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 SCALE = 20.0
 THRESHOLD = 0.7
 _SHAPE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
+_RUN = re.compile(rb"(.)\1+", re.S)
 _REPEAT = xxhash.xxh3_64_intdigest(b"\0again")
 
 
@@ -34,8 +38,7 @@ class _Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self)
-        shape = word[:256].translate(_SHAPE)
-        short = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])
+        short = _RUN.sub(rb"\1", word.translate(_SHAPE))
         self.hashes[k], self.shapes[k] = xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(short, 3)
         return k
 
@@ -84,13 +87,23 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), b.column(2)], ["doc_id", "index", "value", "label"])
 
 
-def train(docs: DataFrame, labels: DataFrame, condition: str, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Fits labels(doc_id, quality) of rows that meet `condition`. With none, all scores are 0.5."""
+def train(docs: DataFrame, labels: DataFrame, condition: str, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """Fits labels(doc_id, quality) of rows that meet `condition`. With none, all scores are 0.5. Of several labels of a document the greatest counts, of several texts the one with the least hash."""
     sample = labels.where(condition).where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows
-    got = map_arrow(picked, _sparse, "doc_id long, index binary, value binary, label int").collect()
-    rows = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32).astype(float), r["label"]) for r in sorted(got, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["label"], r["index"]))]
-    return ftrl(rows)
+    mark = F.xxhash64("text")
+    sized = docs.select("doc_id", mark.alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(sample), "doc_id")  # at most sample_rows
+    chosen, left = [], sample_bytes
+    for r in sized.groupBy("doc_id", "label").agg(F.min(F.struct("mark", "size")).alias("m")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        left -= r["m"]["size"]
+        if left < 0:
+            break
+        chosen.append((r["doc_id"], r["m"]["mark"], r["label"]))
+    if not chosen:
+        return ftrl([])
+    picked = docs.select("doc_id", "text", mark.alias("mark")).join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, mark long, label int")), ["doc_id", "mark"]).select("doc_id", "text", "label")
+    got = {r["doc_id"]: r for r in map_arrow(picked, _sparse, "doc_id long, index binary, value binary, label int").dropDuplicates(["doc_id"]).collect()}
+    order = sorted(got.values(), key=lambda r: xxhash.xxh3_64_intdigest(str(r["doc_id"])))
+    return ftrl([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32).astype(float), r["label"]) for r in order])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, condition: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
