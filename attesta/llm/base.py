@@ -26,11 +26,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+_stages: list[list[Scratch]] = []
+
+
+@contextmanager
+def stage() -> Iterator[None]:
+    """Deletes, at its end, the tables of all runs that began within: for a caller that has written the result by then."""
+    _stages.append([])
+    try:
+        yield
+    finally:
+        for scratch in _stages.pop():
+            scratch.drop()
+
+
 class Scratch:
     """Tables of one run in the shared folder. What cut() returns reads files, so a lost executor costs no recomputation before it."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        for opened in _stages:
+            opened.append(self)
 
     def cut(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """Writes df, in folders by the values of `by`, and returns what reads it."""

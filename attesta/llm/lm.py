@@ -145,7 +145,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             r, c = right[u].copy(), left[u].copy()
             r[a] -= own
             c[a] -= own
-            rows, cols = table.sum(1), table.sum(0)
+            rows, cols = table.sum(1) + c, table.sum(0) + r  # tokens of the classes without the unit, wherever it goes
             new_r, new_c = table + r[None, :], table + c[:, None]
             gain = (_f(new_r) - _f(table)).sum(1) + (_f(new_c) - _f(table)).sum(0)
             d = table[diag, diag]

@@ -65,13 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_class_lm, op4_decontamination, op5_quality, op6_host_rules, op7_url_filter, op8_substring_dedup, op9_jaccard_join, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html_extraction, op3_class_lm, op4_decontamination, op5_quality, op6_host_rules, op7_url_filter, op8_substring_dedup, op9_jaccard_join, op10_sharding)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
 

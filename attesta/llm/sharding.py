@@ -67,7 +67,7 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS, c
             return [a for a, _ in high[:-1]], sure
         spans = [(a + 0, max(b, a)) for (a, _), (_, b) in zip(low, high, strict=True)]
         open_ = [x for x in have if x[2] > 2 and any(x[0] <= b and x[1] >= a for a, b in spans)]
-        share = max(1, bins // max(1, len(open_)))
+        share = max(2, bins // max(1, len(open_)))  # or a bin would never close
         pick = F.lit(None).cast("struct<k:int,b:bigint>")
         merged: list[list[int]] = []
         for a, b, n in sorted(open_):

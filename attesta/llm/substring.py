@@ -22,6 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
 from attesta.llm.words import ENTRIES, U64, WordHash, pack_entries, rolling, runs
@@ -244,9 +245,9 @@ def with_repeats_removed(docs: DataFrame, width: int = WIDTH, block: int = BLOCK
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     removed = _removed(docs, scratch, width, block, flush).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("tag", "_tag")
-    rows = docs.select("doc_id", F.hash("text").alias("tag"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.join(removed, (F.col("doc_id") == F.col("_doc_id")) & (F.col("tag") == F.col("_tag")), "left")
-    lost = map_arrow(rows.select("text", "starts", "row"), _cut(width), f"row {docs.schema.simpleString()}, n_words long, n_removed long, kept string")
+    lost = map_arrow(rows.select("text", "starts", "row"), _cut(width), StructType([StructField("row", docs.schema)]).add("n_words", "long").add("n_removed", "long").add("kept", "string"))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     new = {"text": text.alias("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars")} if "n_chars" in docs.columns else {"text": text.alias("text")}
     return lost.select(*[new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])

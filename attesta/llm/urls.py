@@ -71,7 +71,7 @@ class UrlModel:
     """Suffix statistics of all labelled rows, and trees fitted on at most `sample_rows` different labelled URLs; with one class of label or none there is no tree, and that class (or allow) is the verdict."""
 
     def __init__(self, scratch: Scratch, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS):
-        order = [F.xxhash64("url"), F.col("url")]
+        self.scratch, order = scratch, [F.xxhash64("url"), F.col("url")]
         sample = labelled.select("url", "host", "path", "blocked").distinct().orderBy(*order).limit(sample_rows)
         sample = scratch.cut(lexical(sample).withColumn("_fold", fold_of(F.col("url"))), "sample")
         seen = {r["blocked"] for r in sample.select("blocked").distinct().collect()}
@@ -87,6 +87,7 @@ class UrlModel:
         for k, x in folds.items():  # a fold's rate is that of all other rows of the key
             others = x.join(whole[k].withColumnsRenamed({"_b": "_tb", "_n": "_tn"}), f"_{k}").select(f"_{k}", "_fold", self._rate(F.col("_tb") - F.col("_b"), F.col("_tn") - F.col("_n")).alias(f"{k}_rate"))
             sample = sample.join(others, [f"_{k}", "_fold"])
+        sample = scratch.cut(sample, "fitted")
         self.trees = GBTClassifier(labelCol="blocked", featuresCol="_x", maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1).fit(self._assembled(sample).select("blocked", "_x").coalesce(1))
 
     def _rate(self, blocked: Column, n: Column) -> Column:
