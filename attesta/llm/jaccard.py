@@ -11,7 +11,7 @@ mostly do). Two sets of similarity t or more are found by a key that both have:
 
 The boundary is where enumerating a set's subsets costs more keys than its lists. Sets in (boundary, boundary / t] do both, so no pair across it is lost. Keys only propose: sets
 that share a key form candidate clusters (linked to one hub for each key, never all pairs), and the sets of a cluster are compared exactly, in memory,
-by a matrix product over their common shingles. A cluster above a bound meets some of its own sets first; what these leave open is compared along keys, part against part, in tasks of bounded size."""
+by a matrix product over their common shingles. Of a cluster above a bound the edges are compared first; what these leave open is compared along keys, part against part, in tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -34,8 +34,6 @@ from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_ent
 BAND = 1.25
 #: A cluster above either is compared in parts of half that.
 CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
-#: About so many sets of a large cluster meet all of it first.
-PIVOTS = 32
 BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
 _SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
@@ -193,26 +191,22 @@ def _shared(rows: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(names[some], pa.int64()), "shared": pa.array(count[some], pa.int64())})
 
 
-def _keys(width: int, num: int, den: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
-        for b in batches:
-            keys, nodes = [], []
-            for node, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
-                s = shingle_set(hasher.of(lower_ascii(text).split()), width)
-                if fingerprint(s) == mark:  # a repeated doc_id may bring another text
-                    keys.append(keys_of(s, num, den).view(np.int64))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys))], ["node", "key"])
-
-    return run
+def _keyed(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row number, node and keys of rows whose first columns are node, print and text."""
+    hasher, k = WordHash(), 0
+    for b in batches:
+        for node, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+            s = shingle_set(hasher.of(lower_ascii(text).split()), width)
+            if fingerprint(s) == mark:  # a repeated doc_id may bring another text
+                yield k, node, keys_of(s, num, den).view(np.int64)
+            k += 1
 
 
-def _heads(flush: int) -> object:
-    """From rows (node, key): of the sets of one flush with the same key, links to the one with the least node (key null, a, b), and for each key that one alone (key, a)."""
+def _heads(width: int, num: int, den: int, flush: int) -> object:
+    """Of the sets of one flush with the same key, links to the one with the least node (key null, a, b), and for each key that one alone (key, a)."""
 
-    def split(nodes: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    def split(nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, keys = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]), np.concatenate(keys)
         order = np.lexsort((nodes, keys))
         nodes, keys = nodes[order], keys[order]
         starts, ends = runs(keys)
@@ -221,16 +215,58 @@ def _heads(flush: int) -> object:
         none = [None] * len(links)
         return pa.RecordBatch.from_arrays([pa.array(none + keys[starts].tolist(), pa.int64()), pa.array(np.concatenate([links[:, 0], nodes[starts]]), pa.int64()), pa.array(links[:, 1].tolist() + [None] * len(starts), pa.int64())], ["key", "a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, held = [], [], 0
+        for _, node, own in _keyed(batches, width, num, den):
+            nodes.append(node)
+            keys.append(own)
+            held += len(own)
+            if held >= flush:
+                yield split(nodes, keys)
+                nodes, keys, held = [], [], 0
+        if nodes:
+            yield split(nodes, keys)
+
+    return run
+
+
+def _open(width: int, num: int, den: int, flush: int) -> object:
+    """Of rows (node, print, text, component): for each key of one flush the least and greatest component, the number of sets and the sum of their nodes' mixed values (key, x, y, k, z)."""
+
+    def split(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        n = [len(k) for _, _, k in parts]
+        node, component, key = np.repeat(np.array([p[0] for p in parts], np.int64), n), np.repeat(np.array([p[1] for p in parts], np.int64), n), np.concatenate([p[2] for p in parts])
+        order = np.argsort(key, kind="stable")
+        node, component, key = mix(node[order].view(U64)), component[order], key[order]
+        starts, ends = runs(key)
+        columns = (key[starts], np.minimum.reduceat(component, starts), np.maximum.reduceat(component, starts), ends - starts, np.add.reduceat(node, starts).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "y", "k", "z"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in batches:
-            parts.append(b)
-            held += b.num_rows
+            components = b.column(3).to_pylist()
+            for k, node, own in _keyed([b], width, num, den):
+                if len(own):
+                    parts.append((node, components[k], own))
+                    held += len(own)
             if held >= flush:
-                yield split(*(np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1)))
+                yield split(parts)
                 parts, held = [], 0
         if held:
-            yield split(*(np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1)))
+            yield split(parts)
+
+    return run
+
+
+def _members_of(width: int, num: int, den: int) -> object:
+    """node and key of rows (node, print, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(node, own) for _, node, own in _keyed([b], width, num, den)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([n for n, _ in got], np.int64), [len(k) for _, k in got])), pa.array(np.concatenate([k for _, k in got]))], ["node", "key"])
 
     return run
 
@@ -328,13 +364,13 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, flush: int
     some = reps.join(shared.groupBy("node").agg(F.sum("shared").alias("shared")), "node").where(F.col("shared") * den >= F.col("n") * num)
     picked = scratch.cut(some.select("node", "print", "n", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("node", "print", "n", "doc_id", "text"), "picked")
     scratch.drop("shared")
-    keyed = scratch.cut(map_arrow(picked.select("node", "print", "text"), _keys(width, num, den), "node long, key long"), "keyed")
-    heads = scratch.cut(map_arrow(keyed, _heads(flush), "key long, a long, b long"), "heads")
+    heads = scratch.cut(map_arrow(picked.select("node", "print", "text"), _heads(width, num, den, flush), "key long, a long, b long"), "heads")
     least = F.min("a").over(Window.partitionBy("key"))  # a key has a row for each flush
     candidates = heads.where("key is null").select("a", "b").unionByName(heads.where("key is not null").select("a", least.alias("b")))
+    candidates = scratch.cut(candidates.where("a != b").distinct(), "edges")
     clusters = components(scratch, candidates, "candidates")
     members = clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "node", "doc_id", "print", "n")
-    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", "c", ((F.col("c") > cluster_sets) | (F.col("s") > cluster_shingles)).alias("big"))
+    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", ((F.col("c") > cluster_sets) | (F.col("s") > cluster_shingles)).alias("big"))
     members = scratch.cut(members.join(sizes, "label"), "members")
     texts = picked.select("doc_id", "print", "text")
 
@@ -344,28 +380,33 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, flush: int
 
     links = compared(members.where("not big").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "print"), "links")
     if members.where("big").limit(1).count():
-        links = scratch.cut(links.unionByName(_large(scratch, members.where("big"), keyed, compared, cluster_sets, cluster_shingles)), "all_links")
+        links = scratch.cut(links.unionByName(_large(scratch, members.where("big"), candidates, picked.select("node", "print", "text"), compared, (width, num, den), flush, cluster_sets, cluster_shingles)), "all_links")
         links = components(scratch, links, "linked").withColumnRenamed("node", "a").withColumnRenamed("label", "b")
     known = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
     known = scratch.cut(known, "components")
-    scratch.drop("picked", "keyed", "heads", "members", "links")
+    scratch.drop("picked", "heads", "edges", "members", "links")
     out = described.select("doc_id", "n", "print").join(known, "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _large(scratch: Scratch, members: DataFrame, keyed: DataFrame, compared: object, sets: int, shingles: int) -> DataFrame:
+def _large(scratch: Scratch, members: DataFrame, edges: DataFrame, texts: DataFrame, compared: object, rule: tuple[int, int, int], flush: int, sets: int, shingles: int) -> DataFrame:
     """The links of clusters that don't fit one comparison.
 
-    First all sets of a cluster meet some PIVOTS of it, which links most copies of one text. What is open then are pairs in different components that share a key: for each key whose sets are in several
-    components, the sets outside its largest component meet all of the key's sets. Keys with the same sets are one."""
-    pivot = F.pmod(F.xxhash64("print", F.lit(7)), F.ceil(F.col("c") / PIVOTS)) == 0
-    first = compared(_placed(members.select(F.col("label").alias("g"), "doc_id", "print", "n", pivot.alias("u")), sets, shingles), "pivot_links")
-    joined = components(scratch, first, "pivots")
-    now = scratch.cut(members.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component"), "doc_id", "left").select("node", "doc_id", "print", "n", F.coalesce("component", "doc_id").alias("component")), "after_pivots")
-    pairs = keyed.join(now, "node")
-    open_ = pairs.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("z")).where("x != y")
-    open_ = scratch.cut(open_.groupBy("k", "z", "x", "y").agg(F.min("key").alias("key")).select("key"), "open_keys")
-    group = scratch.cut(pairs.join(open_, "key").select(F.col("key").alias("g"), "doc_id", "print", "n", "component"), "open_pairs")
+    First the edges that made the clusters are checked: each hub meets the sets that are tied to it, which links the copies of one text. What is open then are pairs in different components that share a key: for
+    each key whose sets are in several components, the sets outside its largest component meet all of the key's sets. Keys with the same sets are one."""
+    own = members.select("node", "doc_id", "print", "n")
+    ties = edges.join(own, edges["a"] == own["node"]).select(F.col("b").alias("g"), "doc_id", "print", "n", F.lit(False).alias("u"))
+    hubs = own.join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("g"), "doc_id", "print", "n", F.lit(True).alias("u"))
+    first = compared(_placed(ties.unionByName(hubs), sets, shingles), "star_links")
+    joined = components(scratch, first, "stars")
+    now = scratch.cut(members.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component"), "doc_id", "left").select("label", "node", "doc_id", "print", "n", F.coalesce("component", "doc_id").alias("component")), "after_stars")
+    several = now.groupBy("label").agg((F.min("component") != F.max("component")).alias("s")).where("s").select("label")
+    now = now.join(several, "label", "left_semi").drop("label")
+    open_texts = scratch.cut(texts.join(now.select("node", "component"), "node").select("node", "print", "text", "component"), "open_texts")
+    keys = map_arrow(open_texts, _open(*rule, flush), "key long, x long, y long, k long, z long").groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("k").alias("k"), F.sum(F.col("z").cast("decimal(38,0)")).alias("z")).where("x != y")
+    keys = scratch.cut(keys.groupBy("k", "z", "x", "y").agg(F.min("key").alias("key")).select("key"), "open_keys")
+    pairs = map_arrow(open_texts.select("node", "print", "text"), _members_of(*rule), "node long, key long").join(keys, "key")
+    group = scratch.cut(pairs.join(now, "node").select(F.col("key").alias("g"), "doc_id", "print", "n", "component"), "open_pairs")
     largest = group.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", "count").alias("largest"))
     second = compared(_placed(group.join(largest, "g").select("g", "doc_id", "print", "n", (F.col("component") != F.col("largest")).alias("u")), sets, shingles), "open_links")
     return first.unionByName(second)
