@@ -80,19 +80,18 @@ def judge(sentence: str) -> Judged:
     return Judged(sum(p for _, p in good + bad), signals, alerts, "sem número, nome nem data" if vague else None)
 
 
+def _ends(line: str, m: re.Match) -> bool:
+    """Whether a match of SENTENCE_END ends a sentence: a full stop after an abbreviation or a single letter doesn't."""
+    word = re.search(r"[\w.º]*$", line[: m.start()])[0].lower()
+    return line[m.start()] != "." or not (word in ABBREVIATIONS or len(word) == 1 and word.isalpha())
+
+
 def sentences(text: str) -> list[str]:
-    """By paragraph and end of sentence; a full stop after an abbreviation or a single letter ends none."""
-    out = []
-    for paragraph in text.split("\n"):
-        line = " ".join(paragraph.split())
-        cuts = [0]
-        for m in SENTENCE_END.finditer(line):
-            word = re.search(r"[\w.º]+$", line[cuts[-1] : m.start()])
-            last = word.group().lower() if word else ""
-            short = line[m.start()] == "." and (last in ABBREVIATIONS or len(last) == 1 and last.isalpha())
-            if not short:
-                cuts.append(m.end())
-        out += [s for a, b in zip(cuts, [*cuts[1:], len(line)]) if (s := line[a:b].strip())]
+    """By paragraph and end of sentence."""
+    out: list[str] = []
+    for line in (" ".join(paragraph.split()) for paragraph in text.split("\n")):
+        marked = SENTENCE_END.sub(lambda m, line=line: m[0] + "\n" if _ends(line, m) else m[0], line)
+        out += filter(None, map(str.strip, marked.split("\n")))
     return out
 
 

@@ -50,8 +50,10 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.terms(F.col("text"), 8), " ").alias("terms"))
 
 
-_BM25 = f"""q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter({_WORDS}, lambda x: length(x) > 2 AND x NOT IN {_STOP})) AS term FROM benchmark),
-t AS (SELECT doc_id AS chunk_id, {_WORDS} AS w FROM documents),
+_ASKED_STOP = "(" + ", ".join(f"'{w}'" for w in T.QUERY_STOP_WORDS) + ")"
+_INDEXED = r"regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}]+')"
+_BM25 = f"""q AS (SELECT DISTINCT qid, unnest(regexp_extract_all(strip_accents(w), '[\\p{{L}}\\p{{N}}]+')) AS term FROM (SELECT item_id AS qid, unnest(list_filter({_WORDS}, lambda x: length(x) > 2 AND x NOT IN {_ASKED_STOP})) AS w FROM benchmark)),
+t AS (SELECT doc_id AS chunk_id, {_INDEXED} AS w FROM documents),
 n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t),
 p AS (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM t),
 f AS (SELECT chunk_id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),

@@ -1,6 +1,6 @@
-"""The evidence store (K1 to K3, K6, S16, A5, A6): Parquet tables by load, and a manifest of loads that makes each visible at once.
+"""The evidence store (K1 to K7, S16, A5, A6, J10): Parquet tables by load, and a manifest of loads that makes each visible at once.
 
-A load writes its rows under its own id and joins the manifest last, so a load that fails or still runs is never read. Readers pass the snapshot (the ids) that they began with."""
+A load writes its rows under its own id and joins the manifest last, so a load that fails or still runs is never read. Readers pass the snapshot (the ids) that they began with. Nothing is rewritten: later classes of checks and periods of documents are tables of their own, and of several the last load's holds."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import iso_date
 from attesta.operators import copies, textual
+from attesta.operators import search as finding
+from attesta.sources import feeds
 
 VERSION = 2
 SCHEMAS = {
@@ -20,7 +22,11 @@ SCHEMAS = {
     "chunks": "chunk_id long, doc_id long, pos int, text string, load string",
     "vectors": "chunk_id long, model string, dim int, vec array<float>, load string",
     "checks": "id string, claim string, verdict_original string, agency string, date date, url string, load string",
+    "classes": "id string, class string, class_origin string, load string",
+    "periods": "doc_id long, period string, load string",
 }
+#: What leads from a version of the store to the next; a method of the store.
+MIGRATIONS = {1: "backfill_periods"}
 _POSITIONS = 1 << 24  # chunks of one document at most
 
 
@@ -34,12 +40,84 @@ class EvidenceStore:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
+    def version(self) -> int:
+        """The version that the last load left the store in; a new store has the present one."""
+        rows = self._raw("loads").orderBy(F.desc("seq"), F.desc("created_at")).limit(1).collect()
+        return rows[0]["version"] if rows else VERSION
+
     def snapshot(self) -> tuple[str, ...]:
-        """Ids of published loads, oldest first (one for each load command). A store of a later version is refused."""
-        rows = self._raw("loads").orderBy("seq").collect()
-        if any(r["version"] > VERSION for r in rows):
-            raise RuntimeError("the store was written by a later version; migrate this program")
-        return tuple(r["load"] for r in rows)
+        """Ids of published loads, oldest first (one for each load command). A store of a later version is refused, one of an earlier version must be migrated first."""
+        if (version := self.version()) != VERSION:
+            raise RuntimeError(f"the store has version {version}, this program {VERSION}: " + ("run migrate()" if version in MIGRATIONS else "use a later program" if version > VERSION else "make the store anew"))
+        return self._loads()
+
+    def _loads(self) -> tuple[str, ...]:
+        return tuple(r["load"] for r in self._raw("loads").orderBy("seq", "created_at").collect())
+
+    def migrate(self) -> list[int]:
+        """K7: leads the store to the present version, step by step; returns the versions it came from. Nothing is done twice."""
+        if not self._loads():
+            raise FileNotFoundError(f"no store in {self.root}")
+        done = []
+        while (version := self.version()) != VERSION:
+            if version not in MIGRATIONS:
+                raise RuntimeError(f"no way from version {version} of the store to {VERSION}")
+            getattr(self, MIGRATIONS[version])(migrating=True)
+            self._publish(self._new_load(), f"migrate {version}", version + 1)
+            done.append(version)
+        return done
+
+    def _latest(self, name: str, key: str, snapshot: tuple[str, ...]) -> DataFrame:
+        """The last load's row of each key."""
+        order = F.array_position(F.array(*map(F.lit, snapshot)), F.col("load")) if snapshot else F.lit(0)
+        rows = self._raw(name).where(F.col("load").isin(*snapshot))
+        return rows.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in SCHEMAS_COLUMNS[name] if c not in (key, "load")])
+
+    def checks(self, snapshot: tuple[str, ...] | None = None) -> DataFrame:
+        """Checks with their class and its origin, null where none was set."""
+        snapshot = self.snapshot() if snapshot is None else snapshot
+        return self.read("checks", snapshot).join(self._latest("classes", "id", snapshot), "id", "left")
+
+    def documents(self, snapshot: tuple[str, ...] | None = None) -> DataFrame:
+        """Documents with periods that were filled in later."""
+        snapshot = self.snapshot() if snapshot is None else snapshot
+        later = self._latest("periods", "doc_id", snapshot)
+        return self.read("documents", snapshot).join(later, "doc_id", "left").withColumn("ref_period", F.coalesce("ref_period", "period")).drop("period")
+
+    def set_classes(self, classes: DataFrame, origin: str, command: str = "classes") -> tuple[int, DataFrame]:
+        """classes(line, id, class) of known checks; how many were set, and (line, error) of lines with an unknown class or check. Empty classes are passed over."""
+        before, load = self.checks(), self._new_load()
+        changed, errors = feeds.classified(before.select("id", F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("class_origin")), classes, origin)
+        rows = self._staged(changed.where("class is not null"), load)
+        if n := rows.count():
+            self._write("classes", rows, load)
+            self._publish(load, command)
+        return n, errors
+
+    def backfill_periods(self, migrating: bool = False) -> int:
+        """K5: finds the period of documents that have none; returns how many got one."""
+        loads, load = self._loads() if migrating else self.snapshot(), self._new_load()
+        lacking = self.documents(loads).where("ref_period is null").select("doc_id", "title", "published")
+        rows = self._staged(textual.reference_periods(lacking).where("ref_period is not null").select("doc_id", F.col("ref_period").alias("period")), load)
+        if n := rows.count():
+            self._write("periods", rows, load)
+            self._publish(load, "periods", self.version())
+        return n
+
+    def search(self, claims: DataFrame, model: str, top: int = finding.retrieval.TOP) -> DataFrame:
+        """The store's sources for claims(qid, text, qvec, until), best first. Every chunk must have a vector of the model."""
+        self.check_index(model)
+        snapshot = self.snapshot()
+        docs = self.documents(snapshot).select("doc_id", F.col("text").alias("full_text"))
+        chunks = self.searchable(snapshot=snapshot)
+        vectors = self.read("vectors", snapshot).where(F.col("model") == model).select("chunk_id", "vec")
+        found = finding.hybrid(claims, chunks.select("chunk_id", "text", "published"), vectors, top)
+        return finding.hydrated(found, chunks.join(docs, "doc_id"))
+
+    def prior_checks(self, claims: DataFrame, top: int = finding.CHECKS) -> DataFrame:
+        """The checks most like claims(qid, text). Their ids are hashes, so ties go by a number made of the id."""
+        known = self.read("checks").withColumn("check_id", F.xxhash64("id"))
+        return finding.prior_checks(claims, known.select("check_id", "claim", "agency", "date", "url", "verdict_original"), top)
 
     def read(self, name: str, snapshot: tuple[str, ...] | None = None) -> DataFrame:
         """A table as of a snapshot; the partition filter leaves other loads unread."""
@@ -48,8 +126,8 @@ class EvidenceStore:
     def _write(self, name: str, rows: DataFrame, load: str) -> None:
         rows.withColumn("load", F.lit(load)).select(*SCHEMAS_COLUMNS[name]).write.mode("append").partitionBy("load").parquet(f"{self.root}/{name}")
 
-    def _publish(self, load: str, command: str) -> None:
-        row = [(len(self.snapshot()) + 1, load, datetime.now(UTC), command, VERSION)]
+    def _publish(self, load: str, command: str, version: int = VERSION) -> None:
+        row = [(len(self._loads()) + 1, load, datetime.now(UTC), command, version)]
         self.spark.createDataFrame(row, SCHEMAS["loads"]).coalesce(1).write.mode("append").parquet(f"{self.root}/loads")
 
     @staticmethod
@@ -86,6 +164,11 @@ class EvidenceStore:
         rows.write.parquet(f"{self.root}/_staged/{load}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/_staged/{load}")
 
+    def clean(self) -> None:
+        """Deletes what loads staged; not while one runs."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_staged")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def import_checks(self, checks: DataFrame, command: str = "checks") -> str | None:
         """K3: fact checks(claim, verdict_original, agency, date, url) with an unknown (url, claim); of equal rows the first by verdict. Ids are hashes of both."""
         load, before = self._new_load(), self.snapshot()
@@ -123,7 +206,7 @@ class EvidenceStore:
 
     def searchable(self, cutoff: Column | None = None, snapshot: tuple[str, ...] | None = None) -> DataFrame:
         """Chunks with what a source needs of their documents, published by the cutoff or undated."""
-        docs = self.read("documents", snapshot).select("doc_id", "url", "domain", "title", "published", "copy_group", "ref_period")
+        docs = self.documents(snapshot).select("doc_id", "url", "domain", "title", "published", "copy_group", "ref_period")
         docs = docs.where(F.col("published").isNull() | (F.col("published") <= cutoff)) if cutoff is not None else docs
         title = F.when(F.coalesce("url", F.lit("")) != "", F.col("title")).otherwise(F.format_string("%s (base própria, documento %d)", "title", "doc_id"))
         return self.read("chunks", snapshot).join(docs, "doc_id").withColumn("title", title)
@@ -135,7 +218,7 @@ class EvidenceStore:
 
     def statistics(self) -> DataFrame:
         """A5."""
-        d = self.read("documents").agg(F.count("*").alias("documents"), F.count_distinct("copy_group").alias("copy_groups"), F.count_distinct("domain").alias("domains"), F.count_if(F.col("published").isNull()).alias("undated"), F.count_if(F.col("ref_period").isNotNull()).alias("with_period"))
+        d = self.documents().agg(F.count("*").alias("documents"), F.count_distinct("copy_group").alias("copy_groups"), F.count_distinct("domain").alias("domains"), F.count_if(F.col("published").isNull()).alias("undated"), F.count_if(F.col("ref_period").isNotNull()).alias("with_period"))
         last = self.snapshot()
         return d.withColumn("snapshot", F.lit(last[-1] if last else None).cast("string"))
 

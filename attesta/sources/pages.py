@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.textual import with_result
+from attesta.sources.store import written
 
 MAX_BYTES, BLOCK_BYTES, TIMEOUT_S, MAX_TEXT, MIN_TEXT, MAX_TITLE = 1_500_000, 65_536, 12, 40_000, 80, 300
 # Elements that hold no article text, elements without content, and messages.
@@ -196,3 +197,20 @@ def fetch_pages(urls: DataFrame, get: Callable[[str], str] = fetch) -> DataFrame
             return {"html": None, "error": f"{type(e).__name__}: {e}"}
 
     return with_result(urls, "fetched", "struct<html:string,error:string>", one, F.col("url"))
+
+
+def read_urls(urls: DataFrame, get: Callable[[str], str] = fetch) -> DataFrame:
+    """Ord, url, domain, title, published, text and error for every row of urls(ord, url); each page is fetched once and its answer written. A page that fails has an error and no text."""
+    fetched = written(fetch_pages(urls.select("ord", "url"), get), "fetched")
+    read = read_pages(fetched.select("ord", "url", F.col("fetched.html").alias("html"), F.col("fetched.error").alias("failed")))
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    return read.select("ord", "url", host.alias("domain"), "page.title", F.col("page.date").alias("published"), F.when(F.col("failed").isNull(), F.col("page.text")).alias("text"), F.coalesce("failed", "page.error").alias("error"))
+
+
+def fan_out(links: DataFrame, failures: DataFrame, get: Callable[[str], str] = fetch) -> tuple[DataFrame, DataFrame]:
+    """The sources that links(answer_id, source_ord, url) lead to, and warnings(answer_id, warning): failures(answer_id, engine, error) of the searches by name and kind, and how many of the pages could not be read."""
+    ids = links.withColumn("ord", F.xxhash64("answer_id", "source_ord"))
+    read = written(ids.join(read_urls(ids.select("ord", "url").distinct(), get), ["ord", "url"]), "pages")
+    good = read.where("error is null").select("answer_id", "source_ord", "url", "domain", "title", "published", "text")
+    lost = read.where("error is not null").groupBy("answer_id").agg(F.count("*").alias("n")).select("answer_id", F.format_string("%d página(s) não puderam ser lidas", "n").alias("warning"))
+    return good, failures.select("answer_id", F.concat_ws(": ", "engine", "error").alias("warning")).unionByName(lost)

@@ -42,3 +42,10 @@ def ship(spark: SparkSession) -> None:
     out.close()
     context.addPyFile(where)
     context._attesta_shipped = True
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that several readers don't compute it again and a lost executor costs no recomputation before it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
