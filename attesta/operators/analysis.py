@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import chunks as C
 from attesta.functions import text as T
-from attesta.operators import textual, verdict
+from attesta.operators import report, textual, verdict
+from attesta.sources.store import written
 
 # Origins whose texts are provided and never dropped.
 PROVIDED = ("link_publisher", "anexo")
@@ -57,18 +58,26 @@ def candidate_windows(sources: DataFrame) -> DataFrame:
 
 
 def compared(claims: DataFrame, sources: DataFrame, embed: Callable) -> DataFrame:
-    """Every candidate window of every claim with its similarity."""
+    """Every candidate window of every claim with its similarity: claim_id, source_ord, grp, win_ord, window. Texts stay behind. A batch embeds each of its claims once."""
 
     def near(windows: list, texts: list) -> list[float]:
-        return [float(sum(x * y for x, y in zip(a, b, strict=True))) for a, b in zip(embed(windows), embed(texts), strict=True)]
+        asked = list(dict.fromkeys(texts))
+        known = dict(zip(asked, embed(asked), strict=True))
+        return [float(sum(x * y for x, y in zip(a, known[t], strict=True))) for a, t in zip(embed(windows), texts, strict=True)]
 
-    rows = candidate_windows(sources).join(claims.select("claim_id", "claim"), "claim_id")
-    return textual.with_result(rows, "similarity", "double", near, F.col("window"), F.col("claim"), batched=True)
+    windows = candidate_windows(sources.select("claim_id", "source_ord", "grp", "text", "origin")).select("claim_id", "source_ord", "grp", "win_ord", "window")
+    rows = windows.join(claims.select("claim_id", "claim"), "claim_id")
+    return textual.with_result(rows, "similarity", "double", near, F.col("window"), F.col("claim"), batched=True).drop("claim")
+
+
+def _selected(rows: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """The selected windows, and to these alone the claims and what their sources hold."""
+    return verdict.select_windows(rows).join(sources.drop("grp"), ["claim_id", "source_ord"]).join(claims.select("claim_id", "claim"), "claim_id")
 
 
 def score(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable, verify: bool = True) -> DataFrame:
     """M3: the selected windows of every claim with similarity, probabilities after the verifier's shift, and blocks. claims(claim_id, claim); sources(claim_id, source_ord, domain, title, text, origin, published, ref_period, grp)."""
-    return _judged(verdict.select_windows(compared(claims, sources, embed)), nli, verify)
+    return _judged(_selected(compared(claims, sources, embed), claims, sources), nli, verify)
 
 
 def _judged(selected: DataFrame, nli: Callable, verify: bool) -> DataFrame:
@@ -89,7 +98,7 @@ def trace(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callable,
     Windows of one text in a source are told apart by win_ord; selection prefers the first. Takes what score takes."""
     key = ["claim_id", "source_ord", "win_ord"]
     rows = compared(claims, sources, embed)
-    judged = _judged(verdict.select_windows(rows), nli, verify).select(*key, F.lit(True).alias("to_nli"), "p_ent", "p_neu", "p_con")
+    judged = _judged(_selected(rows, claims, sources), nli, verify).select(*key, F.lit(True).alias("to_nli"), "p_ent", "p_neu", "p_con")
     kept = verdict.consolidate(judged).select(*key, F.lit(True).alias("in_report"))
     size = F.count("*").over(Window.partitionBy("claim_id", "source_ord"))  # n single windows and n - 1 pairs
     rows = rows.withColumn("parts", F.when(2 * F.col("win_ord") <= size, 1).otherwise(2))
@@ -101,3 +110,21 @@ def analyze(claims: DataFrame, sources: DataFrame, embed: Callable, nli: Callabl
     """O1: claim_id, verdict and independent_sources of every claim; claims without sources have not enough evidence."""
     items = verdict.consolidate(score(claims, independence_groups(sources), embed, nli, verify))
     return verdict.verdicts(claims, items.select("claim_id", "grp", "relation", "similarity", F.greatest("p_ent", "p_neu", "p_con").alias("nli")))
+
+
+def analyze_reports(claims: DataFrame, sources: DataFrame, checks: DataFrame, embed: Callable, nli: Callable, service: str, verify: bool = True) -> DataFrame:
+    """O1, O2: the report row of every claim: claims(claim_id, claim, article_date, attachments, searched, used_store), sources as numbered and not yet cut to the article's day, checks as report.reports takes them.
+
+    Sources that the cutoff leaves are grouped and scored; what it removes and cannot date is noted, as are blocked relations. Claims without sources have a report too."""
+    kept, noted = report.cutoff(sources, claims.select("claim_id", "article_date"))
+    items = written(verdict.consolidate(score(claims, independence_groups(kept), embed, nli, verify)).withColumn("nli", F.greatest("p_ent", "p_neu", "p_con")), "items")
+    blocked = report.blocked_note(items) if verify else None
+    notes = F.array_compact(F.array(
+        F.col("note"), F.when(F.col("removed") > 0, F.format_string("%d fonte(s) publicadas depois da notícia foram desconsideradas.", "removed")), F.when(F.col("undated") > 0, F.format_string("%d fonte(s) sem data de publicação foram mantidas.", "undated")),
+        *([F.when(F.col("blocked") > 0, F.format_string("%d trecho(s) tiveram a relação rebaixada: %s.", "blocked", "kinds"))] if verify else []),
+    ))
+    with_notes = claims.join(noted, "claim_id", "left")
+    with_notes = with_notes.join(blocked, "claim_id", "left") if verify else with_notes
+    had = kept.where(F.length(F.coalesce("text", F.lit(""))) > 0).select("claim_id").distinct().withColumn("had_text", F.lit(True))
+    full = with_notes.withColumn("notes", notes).join(had, "claim_id", "left")
+    return report.reports(full.select("claim_id", "claim", "attachments", F.coalesce("had_text", F.lit(False)).alias("had_text"), "searched", "used_store", "notes"), items, checks, service)

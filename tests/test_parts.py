@@ -209,3 +209,19 @@ def test_both_paths_of_bm25(spark):
 def test_versions_and_groups(spark):
     row = spark.range(1).select(report.versions("m", "n", "e", "c", None).alias("v"), report.group_of(F.lit(""), F.lit("d")).alias("g"), report.rounded(F.lit(0.12345)).alias("r")).first()
     assert row["v"]["evidence"] == "busca_web_tempo_real" and (row["g"], row["r"]) == ("d", 0.1235)
+
+
+def test_reports_end_to_end(spark):
+    text = "o mar subiu muito na costa em todos os pontos medidos ali. " * 2
+    kind = "claim_id long, source_ord int, url string, domain string, title string, text string, origin string, published string, ref_period string, copy_of string"
+    sources = spark.createDataFrame([(1, 0, "http://d/1", "d", "T", text, "anexo", "2024-01-01", None, None), (1, 1, "http://e/1", "e", "U", text + "mais", "anexo", "2025-01-01", None, None), (2, 0, "http://f/1", "f", "V", "curto", "url", None, None, None)], kind)
+    claims = spark.createDataFrame([(1, "o mar subiu", "2024-06-01", 0, True, True), (2, "nada", "junho", 1, False, False), (3, "sem fontes", None, 1, False, True)], "claim_id long, claim string, article_date string, attachments int, searched boolean, used_store boolean")
+    checks = spark.createDataFrame([(1, 1, "a", None, "u", "c", "Falso")], "claim_id long, rank int, agency string, date date, url string, claim string, verdict_original string")
+    from attesta.operators import analysis
+
+    got = {r["claim_id"]: r for r in analysis.analyze_reports(claims, sources, checks, *models(), "X").collect()}
+    assert (got[1]["verdict"], got[1]["independent_sources"], got[1]["reason"], len(got[1]["prior_checks"])) == ("SUPPORTED", 1, "modelo_nao_calibrado", 1)
+    assert got[1]["public_text"] == "Resultado da verificação X: as evidências encontradas apoiam esta afirmação." and got[1]["percentage"] is None and not got[1]["evaluable"]
+    assert {(e["source"], e["relation"], e["similarity"]) for e in got[1]["evidence"]} == {("T", "apoia", 1.0)}
+    assert any("desconsideradas" in x for x in got[1]["limitations"]) and report.NO_FILTER in got[2]["limitations"] and report.NO_STORE in got[2]["limitations"]
+    assert (got[2]["verdict"], got[2]["evidence"], got[3]["reason"], got[2]["reason"]) == ("NOT_ENOUGH_EVIDENCE", None, "so_anexo_sem_texto", "evidencia_insuficiente")
