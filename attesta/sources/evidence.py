@@ -5,6 +5,8 @@ A load writes its rows under its own id and joins the manifest last, so a load t
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +17,7 @@ from attesta.operators import copies, textual
 from attesta.operators import search as finding
 from attesta.sources import feeds
 
-VERSION = 2
+VERSION = 3
 SCHEMAS = {
     "loads": "seq long, load string, created_at timestamp, command string, version int",
     "documents": "doc_id long, url string, reference string, domain string, title string, origin_type string, published date, collected timestamp, sha256 string, copy_group long, text string, ref_period string, load string",
@@ -24,9 +26,11 @@ SCHEMAS = {
     "checks": "id string, claim string, verdict_original string, agency string, date date, url string, load string",
     "classes": "id string, class string, class_origin string, load string",
     "periods": "doc_id long, period string, load string",
+    "sets": "doc_id long, s array<bigint>, copy_group long, load string",
+    "postings": "t long, doc_id long, n int, load string",
 }
 #: What leads from a version of the store to the next; a method of the store.
-MIGRATIONS = {1: "backfill_periods"}
+MIGRATIONS = {1: "backfill_periods", 2: "index_copies"}
 _POSITIONS = 1 << 24  # chunks of one document at most
 
 
@@ -101,7 +105,7 @@ class EvidenceStore:
         rows = self._staged(textual.reference_periods(lacking).where("ref_period is not null").select("doc_id", F.col("ref_period").alias("period")), load)
         if n := rows.count():
             self._write("periods", rows, load)
-            self._publish(load, "periods", self.version())
+            self._publish(load, "periods", VERSION if not migrating else self.version())
         return n
 
     def search(self, claims: DataFrame, model: str, top: int = finding.retrieval.TOP) -> DataFrame:
@@ -138,6 +142,24 @@ class EvidenceStore:
         """K1, K2: loads docs(ord, url, reference, domain, title, origin_type, published, text) and returns the load's id, or None if all are known.
 
         A row is known if its reference and text are stored; of equal rows that with the least ord stays. Null texts are empty and null references are one reference. Ids follow ord; dates that are no days are null."""
+        with self._alone():
+            return self._ingest(docs, command)
+
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """One load of documents at a time, as their numbers follow one another: a file that only one can make."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_lock")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            system.create(path, False).close()
+        except Exception as e:
+            raise RuntimeError(f"another load holds {self.root}/_lock; delete it if that load is dead") from e
+        try:
+            yield
+        finally:
+            system.delete(path, False)
+
+    def _ingest(self, docs: DataFrame, command: str) -> str | None:
         load, before = self._new_load(), self.snapshot()
         rows = docs.withColumns({"text": F.coalesce("text", F.lit("")), "reference": F.coalesce("reference", F.lit("")), "published": iso_date(F.col("published").cast("string"))})
         rows = rows.withColumn("sha256", F.sha2("text", 256)).withColumn("_k", F.row_number().over(Window.partitionBy("reference", "sha256").orderBy("ord"))).where("_k = 1").drop("_k")
@@ -151,7 +173,8 @@ class EvidenceStore:
             at[part], first = first, first + sizes[part]
         offset = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("_part")).cast("long")
         numbered = staged.withColumn("doc_id", offset + F.row_number().over(Window.partitionBy("_part").orderBy("ord")))
-        groups = copies.copy_groups(self.read("documents", before).select("doc_id", "text").unionByName(numbered.select("doc_id", "text")), greedy=True)
+        fresh_sets = self._index(load, numbered.select("doc_id", "text"), before)
+        groups = fresh_sets.select("doc_id", "copy_group")
         full = textual.reference_periods(numbered).join(groups, "doc_id").withColumn("collected", F.current_timestamp())
         self._write("documents", full, load)
         fresh = self._raw("documents").where(F.col("load") == load)
@@ -160,6 +183,27 @@ class EvidenceStore:
         self._publish(load, command)
         return load
 
+    def _index(self, load: str, docs: DataFrame, before: tuple[str, ...]) -> DataFrame:
+        """Groups new documents by probing the index of sets, and adds those of new classes to it: C4 without a second look at stored texts."""
+        new = copies.indexed(docs)
+        groups = copies.greedy_groups(new, self.read("sets", before), self.read("postings", before))
+        known = self._staged(groups.join(new, "doc_id"), f"{load}-sets")
+        same = known.where("doc_id = rep and n > 0").select("doc_id", "n", "s", "prefix", "copy_group")
+        same = same.join(self.read("sets", before).select("s"), "s", "left_anti")
+        self._write("sets", same, load)
+        self._write("postings", same.select(F.explode("prefix").alias("t"), "doc_id", "n"), load)
+        return known
+
+    def index_copies(self, migrating: bool = False) -> None:
+        """What a store of version 2 lacks: the index of its documents' sets, with the groups that they have."""
+        loads, load = self._loads() if migrating else self.snapshot(), self._new_load()
+        sets = copies.indexed(self.read("documents", loads).select("doc_id", "text")).where("n > 0")
+        first = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        rows = self._staged(first.join(self.read("documents", loads).select("doc_id", "copy_group"), "doc_id"), load)
+        self._write("sets", rows, load)
+        self._write("postings", rows.select(F.explode("prefix").alias("t"), "doc_id", "n"), load)
+        self._publish(load, "index of sets", self.version())
+
     def _staged(self, rows: DataFrame, load: str) -> DataFrame:
         rows.write.parquet(f"{self.root}/_staged/{load}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.root}/_staged/{load}")

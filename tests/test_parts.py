@@ -143,8 +143,34 @@ def test_migration(spark, tmp_path):
     spark.createDataFrame([(1, load, None, "x", 1)], SCHEMAS["loads"]).write.parquet(f"{old.root}/loads")
     with pytest.raises(RuntimeError, match="migrate"):
         old.read("documents")
-    assert old.migrate() == [1] and old.migrate() == []
+    assert old.migrate() == [1, 2] and old.migrate() == []
     assert [r["ref_period"] for r in old.documents().collect()] == ["2024-05"] and old.backfill_periods() == 0
+    again = old.ingest(spark.createDataFrame([(1, "v", "b", "b", "T", "url", None, "x"), (2, "w", "c", "c", "T", "url", None, "y")], SCHEMA))
+    assert {r["reference"]: r["copy_group"] for r in old.read("documents", (again,)).collect()} == {"b": 1, "c": 3}
+
+
+def test_loads_by_probing_give_the_groups_of_all(spark, tmp_path):
+    import random
+
+    from attesta.operators import copies
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghijklmnop") * 2 + str(r.randint(0, 9)) for _ in range(r.randint(0, 40))) for _ in range(12)]
+    for k in range(40):
+        w = r.choice(texts).split()
+        for _ in range(r.randint(0, 2)):
+            if w:
+                w[r.randrange(len(w))] = "new" + str(k)
+        texts.append(" ".join(w))
+    store = EvidenceStore(spark, str(tmp_path))
+    for k in range(0, len(texts), 18):
+        store.ingest(spark.createDataFrame([(j, "", f"r{j}", "d", "t", "url", None, texts[j]) for j in range(k, min(k + 18, len(texts)))], SCHEMA))
+    docs = store.read("documents").select("doc_id", "text", "copy_group")
+    want = {x["doc_id"]: x["copy_group"] for x in copies.copy_groups(docs.select("doc_id", "text"), greedy=True).collect()}
+    assert {x["doc_id"]: x["copy_group"] for x in docs.collect()} == want and len(set(want.values())) < len(want)
+    (tmp_path / "_lock").write_text("")
+    with pytest.raises(RuntimeError, match="another load"):
+        store.ingest(docs.limit(0).selectExpr(*[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in SCHEMA.split(", ")]))
 
 
 def test_command_line(spark, tmp_path, capsys):
