@@ -11,6 +11,7 @@ requests meet by hash range, sums and moves are made there, and the answers retu
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,6 +237,18 @@ def _sums(requests: pa.Table) -> pa.Table:
     })
 
 
+def _pack(table: np.ndarray) -> bytes:
+    """The cells that are not 0, as gaps and counts, compressed; nothing if all are."""
+    at = np.flatnonzero(table)
+    return zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes() + table[at].tobytes(), 1) if len(at) else b""
+
+
+def _unpack(cells: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(cells)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, np.uint32, n).astype(np.int64)), np.frombuffer(raw, np.int64, n, 4 * n)
+
+
 def _pairs(frequent: np.ndarray, block: int = 64) -> object:
     size = len(frequent) + SUFFIXES + 1
 
@@ -250,17 +263,15 @@ def _pairs(frequent: np.ndarray, block: int = 64) -> object:
                 table[cells] += n
         task = TaskContext.get().partitionId()
         for row in range(0, size, block):
-            part = table[row * size : (row + block) * size]
-            at = np.flatnonzero(part)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([task], pa.int32()), pa.array([at.astype(np.int64).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["row", "task", "at", "n"])
+            if cells := _pack(table[row * size : (row + block) * size]):
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([task], pa.int32()), pa.array([cells], pa.binary())], ["row", "task", "cells"])
 
     def add(rows: pa.Table) -> pa.Table:
         out = np.zeros(block * size, np.int64)
-        for at, n in zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True):
-            out[np.frombuffer(at, np.int64)] += np.frombuffer(n, np.int64)
-        at = np.flatnonzero(out)
-        return pa.table({"row": pa.array([rows["row"][0].as_py()], pa.int32()), "task": pa.array([rows["task"][0].as_py() // TREE], pa.int32()), "at": pa.array([at.tobytes()], pa.binary()), "n": pa.array([out[at].tobytes()], pa.binary())})
+        for cells in rows["cells"].to_pylist():
+            at, n = _unpack(cells)
+            out[at] += n
+        return pa.table({"row": pa.array([rows["row"][0].as_py()], pa.int32()), "task": pa.array([rows["task"][0].as_py() // TREE], pa.int32()), "cells": pa.array([_pack(out)], pa.binary())})
 
     return run, add, size
 
@@ -275,15 +286,16 @@ def fit_core(counts: DataFrame, docs: DataFrame, train: str) -> Core:
     top = stats.select(F.inline("top")).where(F.col("n") >= floor).where(F.col("id") != int(np.uint64(END_ID).view(np.int64))).orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["id"] for r in top], np.int64).view(U64))
     run, add, size = _pairs(frequent)
-    schema, texts = "row int, task int, at binary, n binary", docs.where(train).select("text")
+    schema, texts = "row int, task int, cells binary", docs.where(train).select("text")
     blocks, tasks = map_arrow(texts, run, schema), texts.rdd.getNumPartitions()
     while True:
         blocks, tasks = blocks.groupBy("row", F.floor(F.col("task") / TREE)).applyInArrow(add, schema), -(-tasks // TREE)
         if tasks <= 1:
             break
     pairs = np.zeros(size * size, np.int64)
-    for row, at, x in blocks.select("row", "at", "n").collect():  # the core's units only
-        pairs[row * size + np.frombuffer(at, np.int64)] = np.frombuffer(x, np.int64)
+    for row, cells in blocks.select("row", "cells").collect():  # the core's units only
+        at, x = _unpack(cells)
+        pairs[row * size + at] = x
     at = exchange(pairs.reshape(size, size))
     classes = at.copy()
     classes[len(frequent) + SUFFIXES - 1] = CLASSES  # by its id, the end is in the last suffix
