@@ -34,7 +34,7 @@ from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_ent
 BAND = 1.25
 #: A cluster above either is compared in parts of half that.
 CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
-BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
+BUCKET_BYTES, FLUSH = 8 << 20, 4_000_000
 _SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
 
