@@ -11,7 +11,7 @@ mostly do). Two sets of similarity t or more are found by a key that both have:
 
 The boundary is where enumerating a set's subsets costs more keys than its lists. Sets in (boundary, boundary / t] do both, so no pair across it is lost. Keys only propose: sets
 that share a key form candidate clusters (linked to one hub for each key, never all pairs), and the sets of a cluster are compared exactly, in memory,
-by a matrix product over their common shingles. Of a cluster above a bound the edges are compared first; what these leave open is compared along keys, part against part, in tasks of bounded size."""
+by a matrix product over their common shingles. The sets of a cluster above a bound meet some of its own sets first; what these leave open is compared along keys, part against part, in tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -32,6 +32,8 @@ from attesta.llm.graph import components
 from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_entries, runs, shingle_set
 
 BAND = 1.25
+#: About so many sets of a cluster above a bound meet all of it first.
+PIVOTS = 32
 #: A cluster above either is compared in parts of half that.
 CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
 BUCKET_BYTES, FLUSH = 8 << 20, 4_000_000
@@ -333,6 +335,44 @@ def _compare(width: int, num: int, den: int) -> object:
     return run
 
 
+def _pivoted(width: int, num: int, den: int) -> object:
+    """Of rows (g, i, j, doc_id, print, u, text) of one place at a time: a and b for each set a that is similar to a pivot (u), b the least pivot of each component of pivots that it meets. All places of a group hold all of its pivots, so they agree on these components."""
+
+    def links(have: dict[int, tuple[bool, np.ndarray]]) -> list[tuple[int, int]]:
+        pivots = sorted(i for i, (u, _) in have.items() if u)
+        if not pivots:
+            return []
+        group = linked_groups([have[i][1] for i in pivots], num, den) if len(pivots) > 1 else [0]
+        ids = list(have)
+        sizes = np.array([len(have[i][1]) for i in ids])
+        flat, row = np.concatenate([have[i][1] for i in ids]), np.repeat(np.arange(len(ids)), sizes)
+        out = set()
+        for p, g in zip(pivots, group, strict=True):
+            own = have[p][1]
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.bincount(row[own[at] == flat], minlength=len(ids))
+            out.update((ids[k], pivots[g]) for k in np.flatnonzero(common * (num + den) >= (sizes + len(own)) * num).tolist() if ids[k] != pivots[g])
+        return sorted(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, now, have = WordHash(), None, {}
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for g, i, j, doc_id, mark, u, text in zip(*(b.column(k).to_pylist() for k in range(6)), texts_of(b.column(6)), strict=True):
+                if (g, i, j) != now:
+                    out += links(have)
+                    now, have = (g, i, j), {}
+                s = shingle_set(hasher.of(lower_ascii(text).split()), width)
+                if fingerprint(s) == mark:
+                    have[doc_id] = (u, s)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        if out := links(have):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
 def _placed(rows: DataFrame, sets: int, shingles: int) -> DataFrame:
     """Where the sets of rows(g, doc_id, print, n, u) meet so that each set with u meets all of its group g: (g, i, j) for part i of the sets with u and part j of all. A group within the bounds is one place; parts are half of the bounds."""
 
@@ -367,10 +407,9 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, flush: int
     heads = scratch.cut(map_arrow(picked.select("node", "print", "text"), _heads(width, num, den, flush), "key long, a long, b long"), "heads")
     least = F.min("a").over(Window.partitionBy("key"))  # a key has a row for each flush
     candidates = heads.where("key is null").select("a", "b").unionByName(heads.where("key is not null").select("a", least.alias("b")))
-    candidates = scratch.cut(candidates.where("a != b").distinct(), "edges")
     clusters = components(scratch, candidates, "candidates")
     members = clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "node", "doc_id", "print", "n")
-    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", ((F.col("c") > cluster_sets) | (F.col("s") > cluster_shingles)).alias("big"))
+    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", "c", "s", ((F.col("c") > cluster_sets) | (F.col("s") > cluster_shingles)).alias("big"))
     members = scratch.cut(members.join(sizes, "label"), "members")
     texts = picked.select("doc_id", "print", "text")
 
@@ -380,26 +419,28 @@ def near_duplicates(docs: DataFrame, width: int, num: int, den: int, flush: int
 
     links = compared(members.where("not big").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "print"), "links")
     if members.where("big").limit(1).count():
-        links = scratch.cut(links.unionByName(_large(scratch, members.where("big"), candidates, picked.select("node", "print", "text"), compared, (width, num, den), flush, cluster_sets, cluster_shingles)), "all_links")
+        links = scratch.cut(links.unionByName(_large(scratch, members.where("big"), texts, picked.select("node", "print", "text"), compared, (width, num, den), flush, cluster_sets, cluster_shingles)), "all_links")
         links = components(scratch, links, "linked").withColumnRenamed("node", "a").withColumnRenamed("label", "b")
     known = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
     known = scratch.cut(known, "components")
-    scratch.drop("picked", "heads", "edges", "members", "links")
+    scratch.drop("picked", "heads", "members", "links")
     out = described.select("doc_id", "n", "print").join(known, "print", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _large(scratch: Scratch, members: DataFrame, edges: DataFrame, texts: DataFrame, compared: object, rule: tuple[int, int, int], flush: int, sets: int, shingles: int) -> DataFrame:
+def _large(scratch: Scratch, members: DataFrame, known: DataFrame, texts: DataFrame, compared: object, rule: tuple[int, int, int], flush: int, sets: int, shingles: int) -> DataFrame:
     """The links of clusters that don't fit one comparison.
 
-    First the edges that made the clusters are checked: each hub meets the sets that are tied to it, which links the copies of one text. What is open then are pairs in different components that share a key: for
-    each key whose sets are in several components, the sets outside its largest component meet all of the key's sets. Keys with the same sets are one."""
-    own = members.select("node", "doc_id", "print", "n")
-    ties = edges.join(own, edges["a"] == own["node"]).select(F.col("b").alias("g"), "doc_id", "print", "n", F.lit(False).alias("u"))
-    hubs = own.join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("g"), "doc_id", "print", "n", F.lit(True).alias("u"))
-    first = compared(_placed(ties.unionByName(hubs), sets, shingles), "star_links")
-    joined = components(scratch, first, "stars")
-    now = scratch.cut(members.join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("label", "component"), "doc_id", "left").select("label", "node", "doc_id", "print", "n", F.coalesce("component", "doc_id").alias("component")), "after_stars")
+    First all sets of a cluster meet some pivots of it, which ties the copies of one text together. What is open then are pairs that no pivot ties and that share a key: for each key whose sets are tied to
+    several pivots or none, those outside the largest part meet all of the key's sets. Keys with the same sets are one."""
+    own = members.select("label", "doc_id", "print", "n", F.pmod(F.xxhash64("print", F.lit(7)), F.ceil(F.col("c") / PIVOTS)).alias("h"), F.greatest(F.lit(1), F.ceil(2 * F.col("c") / sets), F.ceil(2 * F.col("s") / shingles)).cast("int").alias("p"))
+    pivot = F.col("h") == 0
+    part = F.when(pivot, F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.array(F.pmod(F.xxhash64("print"), F.col("p")).cast("int")))
+    placed = own.select(F.col("label").alias("g"), F.lit(0).alias("i"), F.explode(part).alias("j"), "doc_id", "print", pivot.alias("u"))
+    rows = placed.join(known, ["doc_id", "print"]).select("g", "i", "j", "doc_id", "print", "u", "text")
+    first = scratch.cut(map_arrow(rows.repartition("g", "j").sortWithinPartitions("g", "j"), _pivoted(*rule), "a long, b long"), "pivot_links")
+    joined = first.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("component"))
+    now = scratch.cut(members.select("label", "node", "doc_id", "print", "n").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "after_pivots")
     several = now.groupBy("label").agg((F.min("component") != F.max("component")).alias("s")).where("s").select("label")
     now = now.join(several, "label", "left_semi").drop("label")
     open_texts = scratch.cut(texts.join(now.select("node", "component"), "node").select("node", "print", "text", "component"), "open_texts")
