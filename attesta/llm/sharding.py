@@ -66,28 +66,29 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS, c
         if sure == maybe and all(a == b for a, b in high):
             return [a for a, _ in high[:-1]], sure
         spans = [(a + 0, max(b, a)) for (a, _), (_, b) in zip(low, high, strict=True)]
-        open_ = [x for x in have if x[2] > 2 and any(x[0] <= b and x[1] >= a for a, b in spans)]
-        share = max(2, bins // max(1, len(open_)))  # or a bin would never close
-        pick = F.lit(None).cast("struct<k:int,b:bigint>")
-        merged: list[list[int]] = []
-        for a, b, n in sorted(open_):
-            if merged and a <= merged[-1][1] + 1:
-                merged[-1] = [merged[-1][0], b, merged[-1][2] + n]
+        ranges: list[list[int]] = []  # at most one for each cut
+        for a, b in sorted(spans):
+            hit = [x for x in have if x[0] <= b and x[1] >= a]
+            if all(x[2] <= 2 for x in hit):
+                continue
+            low_end, high_end = min(x[0] for x in hit), max(x[1] for x in hit)
+            if ranges and low_end <= ranges[-1][1]:
+                ranges[-1][1] = max(ranges[-1][1], high_end)
             else:
-                merged.append([a, b, n])
+                ranges.append([low_end, high_end])
+        inside = lambda x: any(a <= x[0] and x[1] <= b for a, b in ranges)
+        pick = F.lit(None).cast("struct<k:int,b:bigint>")
         fine = []
-        for k, (a, b, _) in enumerate(merged):
-            parts = share * sum(1 for x in open_ if a <= x[0] <= b)
-            width = max(1, -(-(b - a + 1) // parts))
-            fine.append((k, a, b, width))
+        for k, (a, b) in enumerate(ranges):
+            parts = max(2 * sum(a <= x[0] <= b for x in have), bins // len(ranges))  # or a bin would never close
+            fine.append((k, a, b, max(1, -(-(b - a + 1) // parts))))
         for k, a, b, width in reversed(fine):
             pick = F.when(F.col("end").between(a, b), F.struct(F.lit(k).alias("k"), F.floor((F.col("end") - a) / width).alias("b"))).otherwise(pick)
         where = F.lit(False)
         for _, a, b, _ in fine:
             where = where | F.col("end").between(a, b)
         got = [tuple(r)[1:] for r in groups.where(where).groupBy(pick.alias("p")).agg(F.min("end"), F.max("end"), F.count("*")).collect()]
-        closed = set(open_)
-        have = [x for x in have if x not in closed] + got
+        have = [x for x in have if not inside(x)] + got
 
 
 def even_cuts(groups: DataFrame, total: int, shards: int, bins: int = BINS) -> list[int]:
