@@ -36,7 +36,7 @@ BAND = 1.25
 PIVOTS = 32
 #: A cluster above either is compared in parts of half that.
 CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
-BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
+BUCKET_BYTES, FLUSH = 32 << 20, 1_500_000
 _SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
 
 

@@ -28,7 +28,7 @@ from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
 from attesta.llm.words import ENTRIES, U64, WordHash, pack_entries, rolling, runs
 
 WIDTH, BLOCK = 13, 7
-BUCKET_BYTES, FLUSH = 32 << 20, 4_000_000
+BUCKET_BYTES, FLUSH = 32 << 20, 1_500_000
 
 
 def _places(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
