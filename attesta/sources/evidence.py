@@ -185,7 +185,7 @@ class EvidenceStore:
 
     def _index(self, load: str, docs: DataFrame, before: tuple[str, ...]) -> DataFrame:
         """Groups new documents by probing the index of sets, and adds those of new classes to it: C4 without a second look at stored texts."""
-        new = copies.indexed(docs)
+        new = self._staged(copies.indexed(docs), f"{load}-new")  # a table: filters on it must not be pushed into the shingles
         groups = copies.greedy_groups(new, self.read("sets", before), self.read("postings", before))
         known = self._staged(groups.join(new, "doc_id"), f"{load}-sets")
         same = known.where("doc_id = rep and n > 0").select("doc_id", "n", "s", "prefix", "copy_group")
@@ -197,7 +197,7 @@ class EvidenceStore:
     def index_copies(self, migrating: bool = False) -> None:
         """What a store of version 2 lacks: the index of its documents' sets, with the groups that they have."""
         loads, load = self._loads() if migrating else self.snapshot(), self._new_load()
-        sets = copies.indexed(self.read("documents", loads).select("doc_id", "text")).where("n > 0")
+        sets = self._staged(copies.indexed(self.read("documents", loads).select("doc_id", "text")), f"{load}-all").where("n > 0")
         first = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         rows = self._staged(first.join(self.read("documents", loads).select("doc_id", "copy_group"), "doc_id"), load)
         self._write("sets", rows, load)
