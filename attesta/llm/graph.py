@@ -1,44 +1,7 @@
-"""Connected components of an edge table, without collecting it."""
+"""attesta.operators.graph under the name that this subpackage knows it by."""
 
-from __future__ import annotations
+import sys
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from attesta.operators import graph
 
-from attesta.llm.base import Scratch
-
-#: At most twice so many nodes are hubs: those with more than 1 / HUBS of all edge ends.
-HUBS = 2000
-
-
-def _with_least(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """edges(a, b) with m of least(a, m, n). Nodes with more than `most` edges (their number is bounded) come by broadcast, so that a hub's edges stay spread; the others meet theirs by shuffle."""
-    hubs = F.broadcast(least.where(F.col("n") > most).select(F.col("a").alias("_hub"), F.col("m").alias("_m")))
-    tried = edges.join(hubs, F.col("a") == F.col("_hub"), "left")
-    rest = tried.where("_hub is null").select("a", "b").join(least.where(F.col("n") <= most).select("a", "m"), "a")
-    return tried.where("_hub is not null").select("a", "b", F.col("_m").alias("m")).unionByName(rest.select("a", "b", "m"))
-
-
-def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60, hubs: int = HUBS) -> DataFrame:
-    """node, label (the least node of its component) for all ends of edges(a, b).
-
-    Alternates large-star and small-star (Kiveris et al. 2014), which keep the components and end in stars. A hub's edges are reduced by partial minima before each shuffle, and its minimum goes to its edges by
-    broadcast instead of all of them to one task. Each round is written to the shared folder."""
-    now = scratch.cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    last = (now.count(), 0)
-    for k in range(1, rounds + 1):
-        most = 2 * last[0] // hubs
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, most).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, most).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        now = scratch.cut(small, f"{name}{k}")
-        scratch.drop(f"{name}{k - 1}")
-        state = tuple(now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"components of {name} did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+sys.modules[__name__] = graph

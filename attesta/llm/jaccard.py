@@ -1,472 +1,7 @@
-"""Exact n-gram Jaccard join with a heavy-light split by set size.
+"""attesta.operators.jaccard under the name that this subpackage knows it by."""
 
-Exact copies of a shingle set are one class. A class can have a partner only if at least t of its shingles are in other classes too; all shingles meet once, packed, by hash range, and classes with more shingles of their own drop out (documents that share a passage
-mostly do). Two sets of similarity t or more are found by a key that both have:
+import sys
 
-- light sets (at most `boundary` shingles) enumerate the fixed-size subsets (pairs) of the prefix that must share two shingles with any partner: the first
-  n - ceil(t n) + 2 of the set in one global order;
-- heavy sets are met in inverted lists. A list of a single shingle would hold every document with a common passage, so the lists are those of parts: a size band has k = d + 1 + e parts,
-  where d bounds the symmetric difference of partners in the band; shingles are dealt to parts by hash, so partners agree on at least 1 + e whole parts. A
-  set leaves empty parts out, unless more than e of its parts are empty (then partners might agree on empty parts alone).
+from attesta.operators import jaccard
 
-The boundary is where enumerating a set's subsets costs more keys than its lists. Sets in (boundary, boundary / t] do both, so no pair across it is lost. Keys only propose: sets
-that share a key form candidate clusters (linked to one hub for each key, never all pairs), and the sets of a cluster are compared exactly, in memory,
-by a matrix product over their common shingles. The sets of a cluster above a bound meet some of its own sets first; what these leave open is compared along keys, part against part, in tasks of bounded size."""
-
-from __future__ import annotations
-
-import math
-from collections.abc import Iterator
-from functools import cache
-from itertools import combinations
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from attesta.llm.base import Scratch, map_arrow, small_batches, texts_of
-from attesta.llm.graph import components
-from attesta.llm.words import ENTRIES, U64, WordHash, lower_ascii, mix, pack_entries, runs, shingle_set
-
-BAND = 1.25
-#: About so many sets of a cluster above a bound meet all of it first.
-PIVOTS = 32
-#: A cluster above either is compared in parts of half that.
-CLUSTER_SETS, CLUSTER_SHINGLES = 1600, 800_000
-BUCKET_BYTES, FLUSH = 32 << 20, 1_500_000
-_SUBSET, _PART, _BANDS = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD1342543DE82EF95)
-
-
-def prefix(n: int, num: int, den: int) -> int:
-    """Shingles of which partners share at least two."""
-    return min(n, n - (-(-num * n // den)) + 2)
-
-
-@cache
-def band_of(low: int, high: int, num: int, den: int) -> tuple[int, int]:
-    """(k, e): parts and spare agreements for sets that meet in a band of sizes up to `high`; sets may be as small as t * low."""
-    d = (den - num) * 2 * high // (den + num)
-    if not d:
-        return 1, 0
-    e = 0
-    while e <= d + 2:  # twice the parts that are empty by chance, and one; small sets may have more, which costs keys but loses nothing
-        need = math.ceil(2 * (d + 1 + e) * math.exp(-low * num / den / (d + 1 + e)) + 1)
-        if need <= e:
-            return d + 1 + e, e
-        e = need
-    return d + 2, 1
-
-
-@cache
-def bands(boundary: int, num: int, den: int, upto: int) -> tuple[tuple[int, int, int], ...]:
-    """(least size, k, e) of each band from the boundary on."""
-    out, low = [], boundary + 1
-    while low <= upto:
-        nxt = max(low + 1, math.ceil(low * max(BAND, den / num)))
-        out.append((low, *band_of(low, nxt - 1, num, den)))
-        low = nxt
-    return tuple(out)
-
-
-@cache
-def boundary_of(num: int, den: int) -> int:
-    """The greatest size whose pairs of prefix shingles are no more than the parts that its lists would need."""
-    n = 2
-    while math.comb(prefix(n + 1, num, den), 2) <= band_of(n + 1, math.ceil((n + 1) * BAND), num, den)[0]:
-        n += 1
-    return n
-
-
-def keys_of(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a sorted set; partners share at least one."""
-    n, x = len(shingles), boundary_of(num, den)
-    out = []
-    if 2 <= n and n * num <= x * den:
-        p = shingles[: prefix(n, num, den)]
-        i, j = np.array(list(combinations(range(len(p)), 2)), np.int64).T
-        out.append(mix(p[i] * _SUBSET + p[j]))
-    if n > x:
-        table = bands(x, num, den, 1 << 40)
-        own = next(j for j in range(len(table) - 1, -1, -1) if table[j][0] <= n)
-        scattered = mix(shingles ^ _PART)
-        for j in (own, own + 1) if j_next(table, own, n, num, den) else (own,):
-            _, k, e = table[j]
-            part = ((scattered >> U64(33)) % U64(k)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            sorted_part = part[order]
-            starts = np.flatnonzero(np.append(True, sorted_part[1:] != sorted_part[:-1]))
-            sums = np.add.reduceat(scattered[order], starts)
-            full = sorted_part[starts].astype(U64)
-            if k - len(full) > e:
-                empty = np.setdiff1d(np.arange(k, dtype=np.int64), sorted_part).astype(U64)
-                full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), U64)])
-            out.append(mix(mix(sums + full * _PART) + np.full(1, j + 1, U64) * _BANDS))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, U64)
-
-
-def j_next(table: tuple, own: int, n: int, num: int, den: int) -> bool:
-    """Whether a partner of n shingles may be in the band above."""
-    return own + 1 < len(table) and n * den >= table[own + 1][0] * num
-
-
-def fingerprint(shingles: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(shingles.tobytes())
-
-
-def _node(mark: bytes) -> int:
-    return int.from_bytes(mark[:8], "little", signed=True)
-
-
-def _describe(width: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHash()
-        for b in batches:
-            sets = [shingle_set(hasher.of(lower_ascii(text).split()), width) for text in texts_of(b.column(1))]
-            prints = [fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([_node(p) for p in prints], pa.int64())], ["doc_id", "n", "print", "node"])
-
-    return run
-
-
-def _entries(width: int, buckets: int, flush: int) -> object:
-    """Packed keys (31 bits, then 1 if the class has counted it already) of all shingles, by hash range and class.
-
-    Shingles that several classes of one flush have are counted there (rows of a group of their own, `meet` below 0: classes and their counts), and one class stands for them in the range. So a range gets
-    one entry of a shingle for each flush, however many documents share it. A class in several flushes may count a shingle twice, which costs work but loses nothing."""
-    bits = max(1, (buckets - 1).bit_length())
-    low = U64(31 - bits)
-
-    def split(nodes: list[int], parts: list[np.ndarray], place: int) -> Iterator[pa.RecordBatch]:
-        names, rank = np.unique(np.array(nodes, np.int64), return_inverse=True)
-        flat = np.concatenate([p | U64(r) for p, r in zip(parts, rank.tolist(), strict=True)])  # range, key, class
-        flat.sort()
-        flat = flat[np.append(True, flat[1:] != flat[:-1])]
-        starts, ends = runs(flat >> low)
-        many = ends - starts > 1
-        of = flat & U64((1 << int(low)) - 1)
-        inside = np.repeat(many, ends - starts)
-        keys = (flat >> U64(63 - bits) << U64(63 - bits)) | (of << U64(32)) | (flat >> low & U64(0x7FFFFFFF)) << U64(1)
-        b = pack_entries(names, [np.append(keys[~inside], keys[starts[many]] | U64(1))], bits)
-        yield b.append_column("meet", b.column(0))
-        count = np.bincount(of[inside].astype(np.int64), minlength=len(names))
-        if some := np.flatnonzero(count).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([b""]), pa.array([names[some].tobytes()]), pa.array([count[some].astype(np.uint32).tobytes()]), pa.array([place], pa.int64())], ["bucket", "keys", "docs", "lens", "meet"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, place = WordHash(), -1 - (TaskContext.get().partitionId() << 24)
-        nodes, parts, held = [], [], 0
-        for b in batches:
-            for text in texts_of(b.column(0)):
-                s = shingle_set(hasher.of(lower_ascii(text).split()), width)
-                if not len(s):
-                    continue
-                parts.append((((s >> U64(32)) % U64(buckets)) << U64(63 - bits)) | (s & U64(0x7FFFFFFF)) << low)
-                nodes.append(_node(fingerprint(s)))
-                held += len(s)
-                if held >= flush or len(nodes) >= 1 << int(low):
-                    yield from split(nodes, parts, place)
-                    nodes, parts, held, place = [], [], 0, place - 1
-        if nodes:
-            yield from split(nodes, parts, place)
-
-    return run
-
-
-def _shared(rows: pa.Table) -> pa.Table:
-    """For each class, how many of its keys in this range another class has and it has not counted yet; or what a flush counted."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
-    if rows["meet"][0].as_py() < 0:
-        return pa.table({"node": pa.array(read("docs", np.int64), pa.int64()), "shared": pa.array(read("lens", np.uint32).astype(np.int64), pa.int64())})
-    names, rank = np.unique(read("docs", np.int64), return_inverse=True)
-    keys = read("keys", np.uint32).astype(U64)
-    flat = (keys >> U64(1) << U64(33)) | np.repeat(rank.astype(U64), read("lens", np.uint32)) << U64(1) | keys & U64(1)
-    flat.sort()
-    starts, ends = runs(flat >> U64(33))
-    of = flat >> U64(1) & U64(0xFFFFFFFF)
-    several = np.repeat(of[starts] != of[ends - 1], ends - starts)
-    fresh = np.append(True, flat[1:] >> U64(1) != flat[:-1] >> U64(1)) & (flat & U64(1) == 0)
-    count = np.bincount(of[several & fresh].astype(np.int64), minlength=len(names))
-    some = np.flatnonzero(count)
-    return pa.table({"node": pa.array(names[some], pa.int64()), "shared": pa.array(count[some], pa.int64())})
-
-
-def _keyed(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Row number, node and keys of rows whose first columns are node, print and text."""
-    hasher, k = WordHash(), 0
-    for b in batches:
-        for node, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
-            s = shingle_set(hasher.of(lower_ascii(text).split()), width)
-            if fingerprint(s) == mark:  # a repeated doc_id may bring another text
-                yield k, node, keys_of(s, num, den).view(np.int64)
-            k += 1
-
-
-def _heads(width: int, num: int, den: int, flush: int) -> object:
-    """Of the sets of one flush with the same key, links to the one with the least node (key null, a, b), and for each key that one alone (key, a)."""
-
-    def split(nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
-        nodes, keys = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]), np.concatenate(keys)
-        order = np.lexsort((nodes, keys))
-        nodes, keys = nodes[order], keys[order]
-        starts, ends = runs(keys)
-        least = np.repeat(nodes[starts], ends - starts)
-        links = np.unique(np.stack([nodes, least], 1)[nodes != least], axis=0)
-        none = [None] * len(links)
-        return pa.RecordBatch.from_arrays([pa.array(none + keys[starts].tolist(), pa.int64()), pa.array(np.concatenate([links[:, 0], nodes[starts]]), pa.int64()), pa.array(links[:, 1].tolist() + [None] * len(starts), pa.int64())], ["key", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, keys, held = [], [], 0
-        for _, node, own in _keyed(batches, width, num, den):
-            nodes.append(node)
-            keys.append(own)
-            held += len(own)
-            if held >= flush:
-                yield split(nodes, keys)
-                nodes, keys, held = [], [], 0
-        if nodes:
-            yield split(nodes, keys)
-
-    return run
-
-
-def _open(width: int, num: int, den: int, flush: int) -> object:
-    """Of rows (node, print, text, component): for each key of one flush the least and greatest component, the number of sets and the sum of their nodes' mixed values (key, x, y, k, z)."""
-
-    def split(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        n = [len(k) for _, _, k in parts]
-        node, component, key = np.repeat(np.array([p[0] for p in parts], np.int64), n), np.repeat(np.array([p[1] for p in parts], np.int64), n), np.concatenate([p[2] for p in parts])
-        order = np.argsort(key, kind="stable")
-        node, component, key = mix(node[order].view(U64)), component[order], key[order]
-        starts, ends = runs(key)
-        columns = (key[starts], np.minimum.reduceat(component, starts), np.maximum.reduceat(component, starts), ends - starts, np.add.reduceat(node, starts).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "y", "k", "z"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for b in batches:
-            components = b.column(3).to_pylist()
-            for k, node, own in _keyed([b], width, num, den):
-                if len(own):
-                    parts.append((node, components[k], own))
-                    held += len(own)
-            if held >= flush:
-                yield split(parts)
-                parts, held = [], 0
-        if held:
-            yield split(parts)
-
-    return run
-
-
-def _members_of(width: int, num: int, den: int) -> object:
-    """node and key of rows (node, print, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [(node, own) for _, node, own in _keyed([b], width, num, den)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([n for n, _ in got], np.int64), [len(k) for _, k in got])), pa.array(np.concatenate([k for _, k in got]))], ["node", "key"])
-
-    return run
-
-
-def linked_groups(sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """For each set, the least position in its component under similarity >= num / den."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), sizes)
-    shared = count[column] > 1
-    row, column = row[shared], column[shared]
-    names, column = np.unique(column, return_inverse=True)
-    common = np.zeros((m, m), np.float32)
-    step = max(256, (1 << 22) // max(m, 1))
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for a in range(0, len(names), step):
-        i, j = np.searchsorted(column, (a, a + step))
-        x = np.zeros((m, min(step, len(names) - a)), np.float32)
-        x[row[i:j], column[i:j] - a] = 1
-        common += x @ x.T
-    sizes = sizes.astype(np.int64 if sizes.max() * (num + den) > 1 << 30 else np.int32)
-    link = common.astype(sizes.dtype) * sizes.dtype.type(num + den) >= (sizes * num)[:, None] + (sizes * num)[None, :]
-    out = [-1] * m
-    for k in range(m):
-        if out[k] < 0:
-            reached = np.zeros(m, bool)
-            reached[k] = True
-            front = reached
-            while front.any():
-                grown = link[front].any(axis=0) & ~reached
-                reached |= grown
-                front = grown
-            for i in np.flatnonzero(reached):
-                out[i] = k
-    return out
-
-
-def _compare(width: int, num: int, den: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, now, have = WordHash(), None, {}
-
-        def links() -> list[tuple[int, int]]:
-            ids = sorted(have)  # by doc_id, so that the least position is the least id
-            group = linked_groups([have[i] for i in ids], num, den) if len(ids) > 1 else [0] * len(ids)
-            return [(ids[k], ids[g]) for k, g in enumerate(group) if g != k]
-
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for label, i, j, doc_id, mark, text in zip(*(b.column(k).to_pylist() for k in range(5)), texts_of(b.column(5)), strict=True):
-                if (label, i, j) != now:
-                    out += links()
-                    now, have = (label, i, j), {}
-                s = shingle_set(hasher.of(lower_ascii(text).split()), width)
-                if fingerprint(s) == mark:
-                    have[doc_id] = s
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-        if out := links():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return run
-
-
-def _pivoted(width: int, num: int, den: int) -> object:
-    """Of rows (g, i, j, doc_id, print, u, text) of one place at a time: a and b for each set a that is similar to a pivot (u), b the least pivot of each component of pivots that it meets. All places of a group hold all of its pivots, so they agree on these components."""
-
-    def links(have: dict[int, tuple[bool, np.ndarray]]) -> list[tuple[int, int]]:
-        pivots = sorted(i for i, (u, _) in have.items() if u)
-        if not pivots:
-            return []
-        group = linked_groups([have[i][1] for i in pivots], num, den) if len(pivots) > 1 else [0]
-        ids = list(have)
-        sizes = np.array([len(have[i][1]) for i in ids])
-        flat, row = np.concatenate([have[i][1] for i in ids]), np.repeat(np.arange(len(ids)), sizes)
-        out = set()
-        for p, g in zip(pivots, group, strict=True):
-            own = have[p][1]
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            common = np.bincount(row[own[at] == flat], minlength=len(ids))
-            out.update((ids[k], pivots[g]) for k in np.flatnonzero(common * (num + den) >= (sizes + len(own)) * num).tolist() if ids[k] != pivots[g])
-        return sorted(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, now, have = WordHash(), None, {}
-        for b in batches:
-            out: list[tuple[int, int]] = []
-            for g, i, j, doc_id, mark, u, text in zip(*(b.column(k).to_pylist() for k in range(6)), texts_of(b.column(6)), strict=True):
-                if (g, i, j) != now:
-                    out += links(have)
-                    now, have = (g, i, j), {}
-                s = shingle_set(hasher.of(lower_ascii(text).split()), width)
-                if fingerprint(s) == mark:
-                    have[doc_id] = (u, s)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-        if out := links(have):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    return run
-
-
-def _placed(rows: DataFrame, sets: int, shingles: int) -> DataFrame:
-    """Where the sets of rows(g, doc_id, print, n, u) meet so that each set with u meets all of its group g: (g, i, j) for part i of the sets with u and part j of all. A group within the bounds is one place; parts are half of the bounds."""
-
-    def parts(c: Column, n: Column) -> Column:
-        return F.when((c <= sets) & (n <= shingles), F.lit(1)).otherwise(F.greatest(F.ceil(2 * c / sets), F.ceil(2 * n / shingles)).cast("int"))
-
-    u = F.col("u").cast("int")
-    sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.sum(u).alias("cu"), F.sum(u * F.col("n")).alias("su")).where("cu > 0")
-    sizes = sizes.withColumn("p", parts(F.col("c"), F.col("s"))).withColumn("q", F.when(F.col("p") == 1, F.lit(1)).otherwise(parts(F.col("cu"), F.col("su")))).select("g", "p", "q")
-    at = rows.join(sizes, "g").select("*", F.pmod(F.xxhash64("print"), F.col("p")).cast("int").alias("_j"), F.pmod(F.xxhash64("print"), F.col("q")).cast("int").alias("_i"))
-    all_ = at.select("g", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("i"), F.col("_j").alias("j"), "doc_id", "print")
-    own = at.where("u").select("g", F.col("_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"), "doc_id", "print")
-    return all_.unionByName(own).distinct()
-
-
-def near_duplicates(docs: DataFrame, width: int, num: int, den: int, flush: int = FLUSH, cluster_sets: int = CLUSTER_SETS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs(doc_id, text): components of the links between sets of similarity >= num / den.
-
-    Null texts and texts without words have the empty set, are linked with nothing and are their own component. Texts of fewer words than `width` are one shingle. A null doc_id has a null component and links nothing. Repeated rows are returned each. Other columns are ignored; no rows in, no rows out. Shingles are 64-bit hashes, classes 128-bit."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "near")
-    described = scratch.cut(map_arrow(docs.select("doc_id", "text"), _describe(width), "doc_id long, n long, print binary, node long"), "sets")
-    classes = described.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("node").alias("node"))
-    reps = scratch.cut(classes, "classes")
-    buckets = max(12, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    entries = map_arrow(docs.where("doc_id is not null").select("text"), _entries(width, buckets, flush), f"{ENTRIES}, meet long")
-    shared = scratch.cut(entries.groupBy("meet").applyInArrow(_shared, "node long, shared long"), "shared")
-    some = reps.join(shared.groupBy("node").agg(F.sum("shared").alias("shared")), "node").where(F.col("shared") * den >= F.col("n") * num)
-    picked = scratch.cut(some.select("node", "print", "n", "doc_id").join(docs.select("doc_id", "text"), "doc_id").select("node", "print", "n", "doc_id", "text"), "picked")
-    scratch.drop("shared")
-    heads = scratch.cut(map_arrow(picked.select("node", "print", "text"), _heads(width, num, den, flush), "key long, a long, b long"), "heads")
-    least = F.min("a").over(Window.partitionBy("key"))  # a key has a row for each flush
-    candidates = heads.where("key is null").select("a", "b").unionByName(heads.where("key is not null").select("a", least.alias("b")))
-    clusters = components(scratch, candidates, "candidates")
-    members = clusters.join(picked.select("node", "doc_id", "print", "n").distinct(), "node").select("label", "node", "doc_id", "print", "n")
-    sizes = members.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("s")).select("label", "c", "s", ((F.col("c") > cluster_sets) | (F.col("s") > cluster_shingles)).alias("big"))
-    members = scratch.cut(members.join(sizes, "label"), "members")
-    texts = picked.select("doc_id", "print", "text")
-
-    def compared(placed: DataFrame, name: str) -> DataFrame:
-        rows = placed.join(texts, ["doc_id", "print"]).select("g", "i", "j", "doc_id", "print", "text")
-        return scratch.cut(map_arrow(rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j"), _compare(width, num, den), "a long, b long"), name)
-
-    links = compared(members.where("not big").select(F.col("label").alias("g"), F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "print"), "links")
-    if members.where("big").limit(1).count():
-        links = scratch.cut(links.unionByName(_large(scratch, members.where("big"), texts, picked.select("node", "print", "text"), compared, (width, num, den), flush, cluster_sets, cluster_shingles)), "all_links")
-        links = components(scratch, links, "linked").withColumnRenamed("node", "a").withColumnRenamed("label", "b")
-    known = reps.select("print", F.col("doc_id").alias("a")).join(links, "a", "left").select("print", F.coalesce("b", "a").alias("component"))
-    known = scratch.cut(known, "components")
-    scratch.drop("picked", "heads", "members", "links")
-    out = described.select("doc_id", "n", "print").join(known, "print", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _large(scratch: Scratch, members: DataFrame, known: DataFrame, texts: DataFrame, compared: object, rule: tuple[int, int, int], flush: int, sets: int, shingles: int) -> DataFrame:
-    """The links of clusters that don't fit one comparison.
-
-    First all sets of a cluster meet some pivots of it, which ties the copies of one text together. What is open then are pairs that no pivot ties and that share a key: for each key whose sets are tied to
-    several pivots or none, those outside the largest part meet all of the key's sets. Keys with the same sets are one."""
-    own = members.select("label", "doc_id", "print", "n", F.pmod(F.xxhash64("print", F.lit(7)), F.ceil(F.col("c") / PIVOTS)).alias("h"), F.greatest(F.lit(1), F.ceil(2 * F.col("c") / sets), F.ceil(2 * F.col("s") / shingles)).cast("int").alias("p"))
-    pivot = F.col("h") == 0
-    part = F.when(pivot, F.sequence(F.lit(0), F.col("p") - 1)).otherwise(F.array(F.pmod(F.xxhash64("print"), F.col("p")).cast("int")))
-    placed = own.select(F.col("label").alias("g"), F.lit(0).alias("i"), F.explode(part).alias("j"), "doc_id", "print", pivot.alias("u"))
-    rows = placed.join(known, ["doc_id", "print"]).select("g", "i", "j", "doc_id", "print", "u", "text")
-    first = scratch.cut(map_arrow(rows.repartition("g", "j").sortWithinPartitions("g", "j"), _pivoted(*rule), "a long, b long"), "pivot_links")
-    joined = first.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("component"))
-    now = scratch.cut(members.select("label", "node", "doc_id", "print", "n").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "after_pivots")
-    several = now.groupBy("label").agg((F.min("component") != F.max("component")).alias("s")).where("s").select("label")
-    now = now.join(several, "label", "left_semi").drop("label")
-    open_texts = scratch.cut(texts.join(now.select("node", "component"), "node").select("node", "print", "text", "component"), "open_texts")
-    keys = map_arrow(open_texts, _open(*rule, flush), "key long, x long, y long, k long, z long").groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("k").alias("k"), F.sum(F.col("z").cast("decimal(38,0)")).alias("z")).where("x != y")
-    keys = scratch.cut(keys.groupBy("k", "z", "x", "y").agg(F.min("key").alias("key")).select("key"), "open_keys")
-    pairs = map_arrow(open_texts.select("node", "print", "text"), _members_of(*rule), "node long, key long").join(keys, "key")
-    group = scratch.cut(pairs.join(now, "node").select(F.col("key").alias("g"), "doc_id", "print", "n", "component"), "open_pairs")
-    largest = group.groupBy("g", "component").count().groupBy("g").agg(F.max_by("component", "count").alias("largest"))
-    second = compared(_placed(group.join(largest, "g").select("g", "doc_id", "print", "n", (F.col("component") != F.col("largest")).alias("u")), sets, shingles), "open_links")
-    return first.unionByName(second)
-
-
-def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs with the least doc_id of each component, with all their columns; of rows with one doc_id and text one stays. Rows with a null doc_id stay.
-
-    Where rows of one doc_id have different texts, each text is a document of its own, named by a 64-bit hash."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    mark = F.xxhash64("text", F.col("text").isNull())
-    if not rows.where("id is not null").groupBy("id").agg((F.min(mark) != F.max(mark)).alias("c")).where("c").limit(1).count():
-        named = rows.withColumn("name", F.col("id"))
-        groups = near_duplicates(named.select(F.col("name").alias("doc_id"), "text"), width, num, den)
-        least = groups.where("doc_id = component_id").select(F.col("doc_id").alias("name")).distinct()
-    else:
-        named = rows.withColumn("name", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text", F.col("text").isNull())))
-        groups = near_duplicates(named.select(F.col("name").alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("name"), "component_id").distinct()
-        least = groups.join(named.where("name is not null").select("name", "id").distinct(), "name").groupBy("component_id").agg(F.min(F.struct("id", "name")).alias("least")).select(F.col("least.name").alias("name"))
-    kept = named.join(least, "name", "left_semi").dropDuplicates(["name"])
-    return kept.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
+sys.modules[__name__] = jaccard

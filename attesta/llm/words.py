@@ -1,94 +1,7 @@
-"""Words, hashes and shingles of whole texts, vectorised over one document at a time.
+"""attesta.functions.words under the name that this subpackage knows it by."""
 
-bytes.split() cuts exactly at space and \\t to \\r, and no such byte is part of a longer UTF-8 character, so words are cut without decoding."""
+import sys
 
-from __future__ import annotations
+from attesta.functions import words
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-
-U64 = np.uint64
-_A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
-_S = U64(32)
-
-
-class WordHash(dict):
-    """xxh3 of a word, kept for up to `most` words; when full it starts anew, so memory is bounded."""
-
-    def __init__(self, most: int = 250_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        out = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 64:
-            self[word] = out
-        return out
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S)) * _B
-    return x ^ (x >> _S)
-
-
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` consecutive items; it depends on their order."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, U64)
-    out = mix(hashes[:n] * _A)
-    for k in range(1, width):
-        out = mix((out + hashes[k : k + n]) * _C)
-    return out
-
-
-def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; with fewer words the whole sequence is one, with none there is none."""
-    if not len(hashes):
-        return np.empty(0, U64)
-    return np.unique(rolling(hashes, min(width, len(hashes))) ^ U64(min(width, len(hashes))))
-
-
-_UPPER = bytes(range(65, 91))
-_LOWER = bytes(range(97, 123))
-LOWER_ASCII = bytes.maketrans(_UPPER, _LOWER)
-
-
-def lower_ascii(text: bytes) -> bytes:
-    return text.translate(LOWER_ASCII)
-
-
-def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-end positions of the runs of equal values; both empty if x is."""
-    if not len(x):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-    return starts, np.append(starts[1:], len(x))
-
-
-ENTRIES = "bucket long, keys binary, docs binary, lens binary"
-
-
-def pack_entries(docs: list[int] | np.ndarray, parts: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Entries (bucket << 63 - bits | number of the document << 32 | 32-bit key) without repeats, as a row for each bucket: keys, then documents and the number of entries of each."""
-    most_docs = 1 << (31 - bits)
-    flat = np.concatenate(parts)
-    flat.sort()
-    flat = flat[np.append(True, flat[1:] != flat[:-1])]
-    run = flat >> _S
-    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-    lens = np.diff(np.append(starts, len(flat))).astype(np.uint32)
-    ids = np.asarray(docs, np.int64)[(run[starts] & U64(most_docs - 1)).astype(np.int64)]
-    bucket = (run[starts] >> U64(31 - bits)).astype(np.int64)
-    keys = flat.astype(np.uint32)
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    ends, at = np.append(cuts[1:], len(bucket)), np.append(starts, len(flat))
-    return pa.RecordBatch.from_arrays([
-        pa.array(bucket[cuts], pa.int64()), pa.array([keys[at[a] : at[b]].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        pa.array([ids[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([lens[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-    ], ["bucket", "keys", "docs", "lens"])
+sys.modules[__name__] = words

@@ -251,3 +251,39 @@ def test_reports_end_to_end(spark):
     assert {(e["source"], e["relation"], e["similarity"]) for e in got[1]["evidence"]} == {("T", "apoia", 1.0)}
     assert any("desconsideradas" in x for x in got[1]["limitations"]) and report.NO_FILTER in got[2]["limitations"] and report.NO_STORE in got[2]["limitations"]
     assert (got[2]["verdict"], got[2]["evidence"], got[3]["reason"], got[2]["reason"]) == ("NOT_ENOUGH_EVIDENCE", None, "so_anexo_sem_texto", "evidencia_insuficiente")
+
+
+def test_first_partners_are_exact_within_and_beyond_the_bounds(spark):
+    import random
+
+    from attesta.operators.jaccard import first_partners
+
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(60)]
+    texts = [None, "", "one two"]
+    for k in range(90):  # one large component: some texts are near its first ones, others only near later ones
+        w = list(base)
+        at = r.choice([0, 20, 40]) + r.randint(0, 12)
+        for j in range(at, at + r.randint(0, 7)):
+            w[j] = f"n{k % 60}" if r.random() < 0.5 else "n"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"p{k % 7}-{j}" for j in range(30 + k % 2)) for k in range(30)]
+    sets = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for k, t in enumerate(texts)}
+    rep = {k: min(j for j in sets if sets[j] == s) if s else k for k, s in sets.items()}
+    up = {k: min((j for j in sets if rep[j] == j and j < rep[k] and sets[j] and 5 * len(s & sets[j]) >= 4 * len(s | sets[j])), default=None) if s else None for k, s in sets.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in ({}, {"cluster_sets": 12}, {"cluster_shingles": 700, "flush": 500}):
+        got = {x["doc_id"]: (x["rep"], x["up"]) for x in first_partners(docs, 5, 4, 5, **bound).collect()}
+        assert got == {k: (rep[k], up[k]) for k in sets}
+    assert len({u for u in up.values() if u is not None}) > 10
+
+
+def test_greedy_groups_shuffle_less_than_a_row_for_each_shingle(spark):
+    from attesta.operators import copies
+
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    docs = spark.range(300).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 999), k -> concat('w', hash(id div 2, k)))) as text")
+    before = written()
+    groups = {x["doc_id"]: x["copy_group"] for x in copies.copy_groups(docs, greedy=True).collect()}
+    assert groups == {k: k - k % 2 for k in range(300)}
+    assert written() - before < 12 * 150 * 996
